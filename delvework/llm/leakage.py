@@ -157,14 +157,16 @@ def windows(codes: np.ndarray) -> np.ndarray:
 def longest(matched: np.ndarray, weight: np.ndarray, least: int) -> tuple[int, int, int]:
     """(weight, from, to) of the longest stretch of at least ``least`` in which at most one word in ``ONE_IN`` isn't matched; zeros if none.
 
-    An item that is shorter as a whole must be repeated nearly whole: at least nine tenths of it.
+    A stretch begins and ends with a matched word. An item that is shorter as a whole must be repeated nearly whole: at
+    least nine tenths of it.
     """
     w = np.concatenate([[0], np.cumsum(weight)])
     least = min(least, -(-int(w[-1]) * 9 // 10))
     f = np.concatenate([[0], np.cumsum(np.where(matched, -1, ONE_IN - 1))])
-    # from which earliest start a stretch is good enough: the prefix maxima of f, searched from the left
-    start = np.minimum(np.searchsorted(np.maximum.accumulate(f), f), np.arange(len(f)))
-    size = w - w[start]
+    # from which earliest start a stretch is good enough: the prefix maxima of f at matched words, searched from the left
+    begins = np.where(np.append(matched, False), f, -(1 << 40))
+    start = np.minimum(np.searchsorted(np.maximum.accumulate(begins), f), np.arange(len(f)))
+    size = np.where(np.insert(matched, 0, False), w - w[start], 0)
     j = int(size.argmax())
     return (int(size[j]), int(start[j]), j) if size[j] >= least and least > 0 else (0, 0, 0)
 

@@ -179,7 +179,7 @@ def _lexed(model_ref):
 
 
 def _block(model: L.Model, file_path: str, block: int, offs: list[int], texts: list[str]) -> dict:
-    fam, text = family(file_path), overlay(offs, texts)
+    fam, text = family(file_path), overlay(offs, texts) + "\n"
     if fam is None:
         return {"file_path": file_path, "block": block, "chars": len(text), "fn": list(range(N_STATES)), "runs": []}
     if block == 0:  # a file begins in code
@@ -257,7 +257,7 @@ def languages_in_code(chunks: DataFrame, notes: DataFrame | None = None, block_l
     lexed = lexed.persist()
     states = entry_states(lexed.select("file_path", "block", "fn"))
     known = lexed.join(states, ["file_path", "block"], "left").withColumn("state", F.coalesce("state", F.lit(CODE)))
-    run = known.select("file_path", "block", "chars", F.filter("runs", lambda r: F.array_contains(r["states"], F.col("state")))[0].alias("run"))
+    run = known.select("file_path", "block", "chars", F.get(F.filter("runs", lambda r: F.array_contains(r["states"], F.col("state"))), F.lit(0)).alias("run"))
     closed = run.select("file_path", F.explode("run.langs").alias("x")).select("file_path", F.col("x.lang").alias("lang"), F.col("x.size").cast("long").alias("size"))
     tails = run.where("run.tail IS NOT NULL").select("file_path", (F.col("block") + 1).alias("block"), F.col("run.tail").alias("t"))
     heads = run.where("run.head IS NOT NULL").select("file_path", "block", F.col("run.head").alias("h"))

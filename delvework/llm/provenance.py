@@ -28,6 +28,8 @@ FEW = 8
 #: Share of a file's fingerprints that must recur for it to be a copy, and unrelated modules that make them common.
 COPIED, MODULES = 0.8, 4
 
+#: Lexical families of settings.
+SETTINGS = {"toml", "json", "yaml", "props", "env", "ini", "xml"}
 #: Directories of third-party trees and of tools' output, by convention (fixed values).
 VENDOR_DIRS = {"third_party", "third-party", "thirdparty", "vendor", "vendored", "node_modules", "bower_components", "external", "extern", "deps", "_deps", "site-packages", "dist-packages", "pods", "carthage", "jspm_packages"}
 BUILD_DIRS = {"gen", "generated", "autogen", "auto_generated", "generated-sources", "out", "dist", "target", "build", "bin", "obj", "__generated__"}
@@ -174,6 +176,8 @@ def block_features(text: str, path: str, first: bool) -> dict:
     fps, windows, distinct = fingerprints(list(map(_HASHED.__getitem__, toks)))
     if len(fps) < FEW and toks:  # too little to tell a copy from a likeness: only the whole counts
         fps = [int.from_bytes(hashlib.blake2b("\n".join(code).encode(), digest_size=8).digest(), "big", signed=True)]
+    if fam in SETTINGS:  # settings repeat their own form by nature
+        windows = distinct = 0
     return {"chars": chars, "packed": packed, "data": data, "tokens": len(toks), "windows": windows, "uniq": distinct, "gen": gen, "third": third, "fps": fps}
 
 

@@ -278,7 +278,7 @@ def redact(text: str, hits: list[tuple[int, int, str]]) -> str:
             head = _PEM.match(text, a)
             tail = re.search(r"-----END [A-Z0-9 ]+-----$", text[a:b])
             inner = text[head.end() : a + tail.start() if tail else b]
-            out += [head[0], re.sub(r"[A-Za-z0-9+/]{12,}={0,2}", MASK, inner), tail[0] if tail else ""]
+            out += [head[0], re.sub(r"(\\[nrt])|[A-Za-z0-9+/]{12,}={0,2}", lambda m: m[1] or MASK, inner), tail[0] if tail else ""]
         else:
             out.append(MASK if kind != "part" else "")
         last = b

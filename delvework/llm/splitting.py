@@ -90,6 +90,7 @@ def split_lines(lines: list[str], decls: set[int], limit: int, overlap: int) ->
     tops = [lead(k) for k in range(n)]
     extra = [sum(len(lines[j]) + 1 for j in range(tops[k], segs[k][0])) for k in range(n)]
     size = [b - a for _, a, b in segs]
+    tail = list(range(n))
     nxt, prv, alive, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [0] * n
     heap = []
 
@@ -103,9 +104,10 @@ def split_lines(lines: list[str], decls: set[int], limit: int, overlap: int) ->
         _, total, b, a, sa, sb = heapq.heappop(heap)
         if not (alive[a] and alive[b]) or stamp[a] != sa or stamp[b] != sb:
             continue
-        if total + extra[a] > limit + 1:  # the last line end is not part of a piece
+        whole = segs[tail[b]][2] > len(lines[segs[tail[b]][0]])
+        if total + extra[a] - whole > limit:  # a line end that comes last is not part of a piece
             continue
-        size[a] = total
+        size[a], tail[a] = total, tail[b]
         alive[b] = False
         stamp[a] += 1
         nxt[a] = nxt[b]

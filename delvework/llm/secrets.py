@@ -64,7 +64,28 @@ _SCHEME = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9+/=._~:-]{8,})")
 _QUOTED = re.compile(r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>[^\s\"'`\\]{6,200})(?P=q)")
 _NAME_BEFORE = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\])]*\s*(?::\s*&?'?[\w<>\[\]. ]+?)?\s*(?::=|=>|==|=|:|,)\s*(?:[A-Za-z]{1,2}(?=[\"'`])|\w+\(|new \w+\()?\s*$")
 _CONT = re.compile(r"\s*(?:\+|\.\.|\.|\\|<<|&|\|\|)?[ \t]*\\?\r?\n\s*(?:\+|\.\.|\.|//|\#)?\s*([\"'`])([^\s\"'`\\]+)\1")
-_CLI = re.compile(r"(?:--?(?:password|passwd|token|secret|api-?key|auth|pass|pw)[= ]|(?:\s-u\s+|--user[= ])[\w.-]+:)([\"']?)([^\s\"'$<{]\S{5,})\1", re.I)
+_CLI = re.compile(r"(?:--?(?:password|passwd|token|secret|api-?key|access-?key|key|auth|pass|pwd?|credentials?)[= ]|(?:\s-u\s+|--user[= ])[\w.-]+:)([\"']?)([^\s\"'$<{]\S{5,})\1", re.I)
+#: A value to fall back on, and the name of a variable before it.
+_FALLBACK = re.compile(r"(?:,|\|\||\?\?|\?:|\bor\b)[ \t]*([\"'`])([^\"'`\s]{4,})\1")
+_VARIABLE = re.compile(r"(?:^|[\"'.\[( ])([A-Za-z]\w{2,40})[\"'\])]*[ \t]*$")
+_EXPANSION = re.compile(r"\$\{(\w+):?[-=]([^}\s\"'$]{4,})\}")
+#: Arguments with two strings at least, and the names of calls that take a place, a user and a password.
+_ARGUMENTS = re.compile(r"\(([^()\n]*[\"'`][^()\n]*,[^()\n]*[\"'`][^()\n]*)\)")
+_CALL = re.compile(r"\b(?:log_?[io]n|sign_?in|connect|dial|auth|open|bind|create|new|session|client|mount|attach)\w*\s*$", re.I)
+_ARGUMENT = re.compile(r"([\"'`])([^\"'`\n]*)\1")
+#: A field of a query or a header inside a string.
+_FIELD = re.compile(r"(?:[?&]|\b(?=X-))([A-Za-z][\w-]{2,40})(?:=|:\s)([^&\s\"'`<>]{8,})")
+_HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?::\d+)?$")
+#: How people call passwords and accounts (fixed values).
+_SAID = re.compile(
+    r"password|passwd|passwor[dt]|kennwort|passphrase|\bpwd?\b|\bpass\b|\bmdp\b|mot de passe|contrase[nñ]a|\bclave\b|senha|palavra-passe|парол|密码|密碼|口令|パスワード|暗証|\bcreds?\b|credential|\blog ?in\b|zugang|acceso|acesso|accès|доступ|"
+    r"\bsecret\b|\btoken\b|api[ _-]?key|账号|帳號|ログイン|identifiants?|anmeldung"
+)
+#: Parts of those words by which texts without any are passed over.
+_SAID_PARTS = ("passw", "kennwort", "passphrase", "pw", " pass", "mdp", "mot de passe", "contrase", "clave", "senha", "palavra-passe", "парол", "密码", "密碼", "口令", "パスワード", "暗証", "cred", "login", "log in", "zugang", "acces", "acess", "доступ", "secret", "token", "api", "账号", "帳號", "ログイン", "identifiant", "anmeldung")
+_PARTS = ("private key", "eyj", "://", "basic ", "bearer ", "pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "pin", "salt", "login", "cookie", "-u ", "--user", "jwt")
+_COMMENT = re.compile(r"(?:^|\s)(?://+|\#+|--|\*|;|<!--)\s?")
+_STRANGE = re.compile(r"\d|[!*\#?@+%$&~^=]|[a-z][A-Z]")
 _HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|cred|pin|salt|login|cookie|bearer|jwt|pw_|_pw", re.I)
 _CONT_MARK = re.compile(r"\s*(?:\+|\.\.|\.|\\|<<|&)\s*\\?\r?\n")
 _WORDS = re.compile(r"[A-Za-z]+|\d+|[^A-Za-z\d]+")
@@ -179,13 +200,14 @@ def is_secret(name: str, v: str, words: Dictionary) -> bool:
     return 20 <= len(v) <= 90 and _mixed(v) and words.residual(v) >= max(16, 0.6 * len(v)) and not re.search(r"[|,;(){}<>%&]", v)
 
 
-#: One look tells whether a text can hold anything at all.
-_ANY = re.compile(r"PRIVATE KEY|eyJ|://[^\s/@]+:[^\s/@]+@|Basic |Bearer |pass|pwd|pw|secret|token|key|auth|cred|pin|salt|login|cookie|[\"'`][^\s\"'`]{20,90}[\"'`]|-u |--user", re.I)
+_LONG = re.compile(r"[\"'`][^\s\"'`]{20,90}[\"'`]")
 
 
 def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secrets of a text, in order, without overlaps."""
-    if not _ANY.search(text):
+    low = text.lower()
+    hint, said = any(p in low for p in _PARTS), any(p in low for p in _SAID_PARTS)
+    if not (hint or said or _LONG.search(text) or _ARGUMENTS.search(text)):
         return []
     fam = family(path)
     hits: list[tuple[int, int, str]] = []
@@ -241,7 +263,7 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
                 continue
             if is_secret(name, v, words) and not _SCHEME.search(v) and not _URL.search(v):
                 hits += [(a, b, "assignment" if i == 0 else "part") for i, (a, b) in enumerate(parts)]
-        for m in _COMMENT_PAIR.finditer(text) if _HINT.search(text) else ():
+        for m in _COMMENT_PAIR.finditer(text) if hint else ():
             if _HINT.search(m["k"]) and secret_name(m["k"]) and not re.match(r"^[$@&*\w]*[(\[{]", m["v"]) and re.search(r"\d|[^\w.]", m["v"]) and is_secret(m["k"], m["v"], words):
                 ls = text.rfind("\n", 0, m.start()) + 1
                 if re.search(r"(?:^|\s)(?://|#|--|\*|;|<!--)|[\"'`]", text[ls : m.start("k")]) or fam == "shell":
@@ -249,6 +271,9 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
         for m in _CLI.finditer(text) if " -u " in text or "--" in text or " -p" in text else ():
             if not _PLACEHOLDER.match(m[2]) and words.residual(m[2].rstrip("\"'")) >= 4:
                 hits.append((m.start(2), m.end(2), "argument"))
+        hits += _in_calls(text, words)
+    if said and len(low) == len(text):
+        hits += _in_comments(text, low, words)
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int, str]] = []
     for h in hits:
@@ -257,6 +282,47 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
     return out
 
 
+def _in_calls(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
+    """Passwords among the arguments of calls, as values to fall back on, and in fields of queries and headers."""
+    hits = []
+    for m in _FALLBACK.finditer(text):
+        n = _VARIABLE.search(text[max(0, m.start() - 60) : m.start()])
+        if n and secret_name(n[1]) and is_secret(n[1], m[2], words):
+            hits.append((m.start(2), m.end(2), "default"))
+    for m in _EXPANSION.finditer(text) if "${" in text else ():
+        if secret_name(m[1]) and is_secret(m[1], m[2], words):
+            hits.append((m.start(2), m.end(2), "default"))
+    for m in _FIELD.finditer(text) if "=" in text or "X-" in text else ():
+        if secret_name(m[1]) and _STRANGE.search(m[2]) and is_secret(m[1], m[2], words):
+            hits.append((m.start(2), m.end(2), "field"))
+    for m in _ARGUMENTS.finditer(text):
+        if not _CALL.search(text, max(0, m.start() - 40), m.start()):
+            continue
+        args = list(_ARGUMENT.finditer(m[1]))
+        if len(args) >= 2 and (v := args[-1][2]) and _STRANGE.search(v) and not _HOST.match(v) and is_secret("password", v, words):
+            at = m.start(1) + args[-1].start(2)
+            hits.append((at, at + len(v), "argument"))
+    return hits
+
+
+def _in_comments(text: str, low: str, words: Dictionary) -> list[tuple[int, int, str]]:
+    """Passwords told in comments, behind a word for them in one of many languages."""
+    hits, done = [], -1
+    for m in _SAID.finditer(low):
+        ls, le = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        le = le if le >= 0 else len(text)
+        if ls <= done or not _COMMENT.search(text, ls, m.start()):
+            continue
+        done = ls
+        for t in re.finditer(r"\S+", text[m.end() : le]):
+            v = t[0].strip("\"'`(),;").rstrip(".")
+            v = v.rpartition(":")[2] if ":" in v and "//" not in v else v
+            if len(v) >= 6 and _STRANGE.search(v) and not re.match(r"^[\d.,:/-]+$|^[<{$]", v) and not _HOST.match(v) and not re.search(r"\w\(|::|->|/\w", v) and is_secret("password", v, words):
+                at = m.end() + t.start() + t[0].rfind(v)
+                hits.append((at, at + len(v), "comment"))
+    return hits
+
+
 def _pem_tail(text: str, at: int) -> int:
     """Where the base64 lines behind an opening mark end when its closing mark is not in the text."""
     m = re.compile(r"(?:(?:\\n|[\s\"'`+.;,)(#/*-]|\\)*[A-Za-z0-9+/]{16,}={0,2})*").match(text, at)

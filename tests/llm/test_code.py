@@ -172,6 +172,13 @@ def found(text, path="a.py"):
         ("a.rb", 'hdr = "Basic c3ZjX2E6aGFyYm91ci1PdHRlci00Mw=="', "c3ZjX2E6aGFyYm91ci1PdHRlci00Mw=="),
         ("a.sh", "curl -u svc:TklxVoncbc2f22XrGh https://x", "TklxVoncbc2f22XrGh"),
         ("a.sh", KEY, KEY),
+        ("a.py", 'v = os.environ.get("SIGNING_KEY", "Tulip!5545")', "Tulip!5545"),
+        ("a.sh", "V=${PRIVATE_TOKEN:-tk:4vm5ti5fCDK7zTg1WLQYOCNSMDaJ}", "tk:4vm5ti5fCDK7zTg1WLQYOCNSMDaJ"),
+        ("a.js", 'dial("hub3.corp.example", "svc_status", "Will0w#thi37");', "Will0w#thi37"),
+        ("a.py", "# 密码 svc_cache sable-falcon-2", "sable-falcon-2"),
+        ("a.c", "// user svc_module pw L@nt3rn!sab33 until the vault works", "L@nt3rn!sab33"),
+        ("a.js", "// tmp creds svc_anchor:9N9jSZCB+", "9N9jSZCB+"),
+        ("a.js", 'get("https://x.example/a?api_key=9N9jSZCBx8Lw&b=1")', "9N9jSZCBx8Lw"),
     ],
 )
 def test_secrets(path, text, what):
@@ -184,7 +191,7 @@ def test_secrets(path, text, what):
         ("a.py", 'password = "changeme"'), ("a.py", 'token = "${TOKEN}"'), ("a.py", 'api_key = "{{ api_key }}"'), ("a.env", "SECRET=vault:a/secret"), ("a.ini", "pwd = <set-me>"),
         ("a.py", 'checksum = "5c5295647f03a72a11aff1dd301639a9f1aecf44"'), ("a.py", 'trace_id = "c6bab76a-aa68-4f06-ae40-3a29ef8a54d1"'), ("a.js", 'const icon = "data:image/png;base64,EzWMzSxG/mBt9Tijf9B2KpctYSD1peNZJ";'),
         ("a.py", 'docs = "https://user:password@host.example/path"'), ("a.py", 'secret_field = "identifier"'), ("a.properties", "password.min.length=164"), ("a.yaml", "token_limit: 382"), ("a.py", 'password_label = "Password"'),
-        ("a.py", 'key = "-----BEGIN PUBLIC KEY-----DczKQigupx6rAYqkpHmQ7alOa/sXyJkbN4oXxpGn"'), ("a.py", 'T = [\n    "W8/4HukSgoRwOEXHHXeL+4to1O2azrgmJUZWaZxA0c1tbfVBg",\n]'), ("a.py", "token = read_token(path)"),
+        ("a.py", 'key = "-----BEGIN PUBLIC KEY-----DczKQigupx6rAYqkpHmQ7alOa/sXyJkbN4oXxpGn"'), ("a.py", 'T = [\n    "W8/4HukSgoRwOEXHHXeL+4to1O2azrgmJUZWaZxA0c1tbfVBg",\n]'), ("a.py", "token = read_token(path)"), ("a.py", "# bind token map with width 3."), ("a.go", "// Ask the owner for the password of db3.corp.example."), ("a.py", 'connect("db3.corp.example", "db4.corp.example")'), ("a.sh", "x=${TOKEN:-changeme}"),
     ],
 )
 def test_no_secrets(path, text):

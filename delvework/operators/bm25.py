@@ -36,15 +36,21 @@ def scored(
     count: Callable[[Column, str], Column],
     size: Callable[[Column], Column],
 ) -> DataFrame:
-    """``rows`` that hold at least one term, with ``score``, ``all_terms`` (holds each) and nothing else dropped.
+    """``id, module, score, all_terms`` of the rows that hold at least one term; ``all_terms`` tells whether each.
 
+    Rows of a table with ``last_indexed`` count once per id, as indexed last; other tables have unique ids.
     ``columns`` gives the weight of each text column, ``count`` how often a term occurs in a text, ``size`` a text's
     length in tokens. The number of rows, of rows per term and the mean length are those of all ``rows``, taken in one
     pass beside the search; filters belong behind this.
     """
     tfs = [sum((w * count(F.col(c), t) for c, w in columns.items()), F.lit(0.0)) for t in terms]
     tokens = sum((size(F.col(c)) for c in columns), F.lit(0).cast("long"))
-    base = rows.select("*", tokens.alias("_d"), *(tf.alias(f"_tf{i}") for i, tf in enumerate(tfs)))
+    keep = [c for c in ("id", "module") if c in rows.columns]
+    counts = ["_d", *(f"_tf{i}" for i in range(len(terms)))]
+    version = ["last_indexed"] if "last_indexed" in rows.columns else []
+    base = rows.where("id IS NOT NULL").select(*keep, *version, tokens.alias("_d"), *(tf.alias(f"_tf{i}") for i, tf in enumerate(tfs)))
+    if version:  # only the counts are moved, never the texts
+        base = unique(base, *keep, *counts)
     n = F.count("*").cast("double")
     idf = []
     for i in range(len(terms)):
@@ -58,7 +64,7 @@ def scored(
         any_, all_ = any_ | h, all_ & h
     out = base.where(any_).withColumn("_s", stats)
     score = _score([F.col(f"_tf{i}") for i in range(len(terms))], F.col("_d").cast("double"), F.col("_s"), [F.col(f"_s.idf{i}") for i in range(len(terms))])
-    return out.select(*rows.columns, F.round(score, 6).alias("score"), all_.alias("all_terms"))
+    return out.select(*keep, F.round(score, 6).alias("score"), all_.alias("all_terms"))
 
 
 def trigram_scored(rows: DataFrame, terms: list[str], columns: dict[str, float]) -> DataFrame:

@@ -41,7 +41,7 @@ def like(rows: DataFrame, words: list[str], columns: list[str], limit: int, modu
         rows = rows.where(hit)
     if module is not None:
         rows = rows.where(F.col("module") == module)
-    return fusion.top(rows.select("id", F.lit(1.0).alias("score")), limit)
+    return fusion.top(rows.where("id IS NOT NULL").select("id", F.lit(1.0).alias("score")).distinct(), limit)
 
 
 def keyword(rows: DataFrame, query: str, weights: dict[str, float], limit: int, module: str | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def keyword(rows: DataFrame, query: str, weights: dict[str, float], limit: int,
     return fusion.fuse(lists, limit)
 
 
-def hybrid(rows: DataFrame, vectors: DataFrame, query: str, near: DataFrame, weights: dict[str, float], limit: int, module: str | None = None) -> DataFrame:
+def hybrid(rows: DataFrame, query: str, near: DataFrame, weights: dict[str, float], limit: int, module: str | None = None) -> DataFrame:
     """``id, score, rank``: keyword list and vector list fused; an empty list leaves the other as it is.
 
     ``near`` is a vector list ``id, score, rank`` of at least :func:`fetch_size` rows; ids that ``rows`` lacks drop out.
@@ -90,12 +90,15 @@ def search(
             raise ValueError("semantic search needs a vector list")
         return fusion.top(near.select("id", "score"), limit)
     if near is not None and mode != "keyword":
-        return hybrid(rows, near, query, near, weights, limit, module)
+        return hybrid(rows, query, near, weights, limit, module)
     return keyword(rows, query, weights, limit, module)
 
 
 def results(found: DataFrame, rows: DataFrame, preview_lines: int = 5) -> DataFrame:
-    """Found ids with path, module, lines, symbol or section, and a preview; one join, ranks kept."""
+    """Found ids with path, module, lines, symbol or section, and a preview; one join, ranks kept.
+
+    ``found`` is a ranked list, so it has no more rows than were asked for and can be sent to every executor.
+    """
     label = "symbol_name" if "symbol_name" in rows.columns else "section"
-    shown = rows.select("id", "file_path", "module", "start_line", "end_line", label, T.preview(F.col("content"), preview_lines).alias("preview"))
-    return F.broadcast(found).join(shown, "id").select("rank", "id", "file_path", "module", "start_line", "end_line", label, "preview", "score")
+    shown = F.broadcast(found).join(rows, "id").dropDuplicates(["id"])
+    return shown.select("rank", "id", "file_path", "module", "start_line", "end_line", label, T.preview(F.col("content"), preview_lines).alias("preview"), "score")

@@ -27,11 +27,11 @@ def _doc_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.unique(table(spark, d, "chunks"), "file_path", "module", "content", "symbol_name")
+    return table(spark, d, "chunks")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.unique(table(spark, d, "doc_chunks"), "file_path", "module", "content", "section")
+    return table(spark, d, "doc_chunks")
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def python_syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def preview_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _code(spark, d).select("id", T.preview(F.col("content"), 5).alias("preview"))
+    return _code(spark, d).where("id IS NOT NULL").select("id", T.preview(F.col("content"), 5).alias("preview")).dropDuplicates(["id"])
 
 
 # index maintenance
@@ -110,7 +110,8 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cjk_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(T.bigrams(F.col("content"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    once = bm25.unique(_docs(spark, d), "content")
+    return once.select(F.explode(T.bigrams(F.col("content"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @query
@@ -187,7 +188,7 @@ def mixed_search(spark: SparkSession, d: str) -> DataFrame:
 def doc_search(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d)
     found = search.search(rows, "retry snapshot", weights=search.DOC_WEIGHTS, limit=15)
-    return F.broadcast(found).join(rows, "id").select("rank", "id", "section", T.preview(F.col("content"), 6).alias("preview"), "score")
+    return search.results(found, rows, 6).select("rank", "id", "section", "preview", "score")
 
 
 # vectors and fusion

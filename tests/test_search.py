@@ -68,6 +68,16 @@ def test_cjk(spark, rows):
     assert ids(search.keyword(rows, "合并 reader", search.CODE_WEIGHTS, 10))[0] in {"a", "b", "d", "f"}
 
 
+def test_repeated_chunks_count_once(spark, rows):
+    from pyspark.sql import functions as F
+
+    twice = rows.withColumn("last_indexed", F.lit(1).cast("long")).unionByName(rows.withColumn("last_indexed", F.lit(2).cast("long"))).unionByName(rows.where("id = 'a'").select(F.lit(None).cast("string").alias("id"), "module", "content", "symbol_name", F.lit(3).cast("long").alias("last_indexed")))
+    for q in ("snapshot", "of a", "合并", "reader zzzz"):
+        assert [tuple(r) for r in search.keyword(twice, q, search.CODE_WEIGHTS, 10).orderBy("rank").collect()] == [tuple(r) for r in search.keyword(rows, q, search.CODE_WEIGHTS, 10).orderBy("rank").collect()]
+    shown = search.results(search.keyword(twice, "snapshot", search.CODE_WEIGHTS, 2), twice.select("*", F.lit("p").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line")), 1).orderBy("rank").collect()
+    assert [r["rank"] for r in shown] == [1, 2]
+
+
 def lists(spark, *ls):
     return [spark.createDataFrame([(i, s, k + 1) for k, (i, s) in enumerate(x)], "id string, score double, rank int") for x in ls]
 

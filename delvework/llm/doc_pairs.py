@@ -84,8 +84,8 @@ def clean(kind: str, raw: str) -> str:
 def functions(text: str, path: str | None, first_line: int, whole: bool) -> list[dict]:
     """The functions of a text that has comments, with their documentation ('' where it says nothing) and code.
 
-    ``whole``: the text begins where a declaration with its comment begins; else a comment that starts on the first
-    line may be cut off above and is left out.
+    ``whole``: the text begins where a declaration with its comment begins; else a line comment on the first line may
+    be cut off above: such functions are ``unsure``, and ``inner`` is what is said without that comment.
     """
     fam = family(path)
     if fam is None:
@@ -104,13 +104,12 @@ def functions(text: str, path: str | None, first_line: int, whole: bool) -> list
         spans = src.comments_above(d)
         cut = not whole and spans and src.line_of(spans[0][1]) == 0 and spans[0][0] == "l"
         parts = [clean(s[0], text[s[1] : s[2]]) for s in spans if not s[4]]
-        doc = "" if cut else statement("\n".join(parts), d.name)
-        inner = src.docstring(d)
-        if inner is not None:
-            said = statement(_dedent(body("s", inner)), d.name)
-            doc = "\n".join(x for x in (doc, said) if x)
+        doc = statement("\n".join(parts), d.name)
+        string = src.docstring(d)
+        inner = statement(_dedent(body("s", string)), d.name) if string is not None else ""
+        doc = "\n".join(x for x in (doc, inner) if x)
         end = src.body_end(d) if doc else d.line
-        out.append({"function_name": d.name, "line": first_line + d.line, "doc": doc, "code": "\n".join(src.lines[d.line : end + 1]) if doc else ""})
+        out.append({"function_name": d.name, "line": first_line + d.line, "doc": doc, "code": "\n".join(src.lines[d.line : end + 1]) if doc else "", "unsure": bool(cut and doc), "inner": inner})
     return out
 
 
@@ -121,8 +120,20 @@ def _dedent(s: str) -> str:
     return "\n".join([lines[0], *(x[k:] for x in lines[1:])])
 
 
-_SCHEMA = pa.schema([("id", pa.string()), ("file_path", pa.string()), ("function_name", pa.string()), ("line", pa.int32()), ("doc", pa.string()), ("code", pa.string())])
-_DDL = "id string, file_path string, function_name string, line int, doc string, code string"
+_SCHEMA = pa.schema(
+    [("id", pa.string()), ("file_path", pa.string()), ("start_line", pa.int32()), ("function_name", pa.string()), ("line", pa.int32()), ("doc", pa.string()), ("code", pa.string()), ("unsure", pa.bool_()), ("inner", pa.string())]
+)
+_DDL = "id string, file_path string, start_line int, function_name string, line int, doc string, code string, unsure boolean, inner string"
+#: Lines of a file that share a join key.
+_NEAR = 256
+
+
+def _commented(chunks: DataFrame) -> DataFrame:
+    """``file_path, near, first, flags``: per chunk and stretch of lines, which of the chunk's lines are comments only."""
+    lines = F.split("content", "\n")
+    c = chunks.where("NOT whole").select("file_path", F.col("start_line").alias("first"), F.transform(lines, lambda x: x.rlike(r"^\s*(?://|#(?!!)|--|/\*|\*)")).alias("flags"))
+    last = F.col("first") + F.size("flags") - 1
+    return c.select("file_path", F.explode(F.sequence(F.floor(F.col("first") / _NEAR), F.floor(last / _NEAR))).alias("near"), "first", "flags")
 
 
 def documented_functions(chunks: DataFrame) -> DataFrame:
@@ -130,22 +141,34 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
 
     ``doc`` is the comment directly above the declaration (attributes, decorators and annotations may stand between)
     and, in Python, the string that opens the body, without tags, directives, placeholders, ornaments and disabled
-    code; ``code`` runs from the declaration's line to the end of its balanced body or of the chunk. Null ids, paths
-    or contents and files of unknown kinds give no rows; equal rows count once; a null start line counts as 1.
+    code; ``code`` runs from the declaration's line to the end of its balanced body or of the chunk. A line comment
+    with which a line window begins is whole only if another window shows that no comment stands above it. Null ids,
+    paths or contents and files of unknown kinds give no rows; equal rows count once; a null start line counts as 1.
     """
-    c = chunks.select("id", "file_path", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content", F.col("symbol_name").isNotNull().alias("whole"))
+    start = F.coalesce("start_line", F.lit(1))
+    c = chunks.select("id", "file_path", start.alias("start_line"), "content", (F.col("symbol_name").isNotNull() | (start <= 1)).alias("whole"))
     c = c.where("id IS NOT NULL AND file_path IS NOT NULL AND content IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                for f in functions(r["content"], r["file_path"], r["start_line"], r["whole"] or r["start_line"] <= 1):
+                for f in functions(r["content"], r["file_path"], r["start_line"], r["whole"]):
                     if f["doc"]:
-                        rows.append({"id": r["id"], "file_path": r["file_path"], **f})
+                        rows.append({"id": r["id"], "file_path": r["file_path"], "start_line": r["start_line"], **f})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return c.mapInArrow(run, _DDL).dropDuplicates(["id", "function_name", "line"])
+    found = c.mapInArrow(run, _DDL).dropDuplicates(["id", "function_name", "line"]).persist()
+    sure = found.where("NOT unsure").select("id", "file_path", "function_name", "line", "doc", "code")
+    above = F.col("start_line") - 1
+    asked = found.where("unsure").withColumn("near", F.floor(above / _NEAR))
+    # windows also begin at line 1, and those are whole; their lines are wanted as well
+    seen = _commented(c.withColumn("whole", F.col("whole") & (F.col("start_line") > 1)))
+    at = F.get("flags", above - F.col("first"))
+    told = asked.join(seen, ["file_path", "near"], "left").groupBy("id", "file_path", "function_name", "line", "doc", "code", "inner").agg(F.max(F.when(above >= F.col("first"), at)).alias("more"))
+    doc = F.when(~F.coalesce("more", F.lit(True)), F.col("doc")).otherwise(F.col("inner"))
+    kept = told.select("id", "file_path", "function_name", "line", doc.alias("doc"), "code").where("doc <> ''")
+    return sure.unionByName(kept)
 
 
 def found(pairs: DataFrame) -> DataFrame:

@@ -149,6 +149,22 @@ def test_pairs_edges(spark):
     assert doc_pairs.documented_functions(frame(spark, [])).count() == 0
 
 
+def test_documentation_cut_off_by_a_window(spark):
+    head = "fn a() {}\n// Reads one row"
+    tail = "// at most from the table.\nfn f() {}\n\n"
+    whole = "fn g() {\n}\n"
+    rows = [
+        ("w1", "a.rs", 1, 2, head, None, None), ("w2", "a.rs", 3, 5, tail, None, None),  # the comment begins in the window before
+        ("v1", "b.rs", 1, 2, whole, None, None), ("v2", "b.rs", 3, 5, tail, None, None),  # it doesn't
+        ("u1", "c.rs", 1, 4, whole + "// at most from the table.\nfn f() {}", None, None), ("u2", "c.rs", 3, 5, tail, None, None),  # windows overlap
+        ("t2", "d.rs", 3, 5, tail, None, None),  # nobody knows what is above
+        ("s1", "e.py", 600, 600, "x = 1  # no", None, None), ("s2", "e.py", 601, 603, "# of all the rows\ndef f():\n    'Reads one row at most.'", None, None),
+    ]
+    got = {(r.id, r.doc) for r in doc_pairs.documented_functions(frame(spark, rows)).collect()}
+    says = "at most from the table."
+    assert got == {("v2", says), ("u1", says), ("u2", says), ("s2", "of all the rows\nReads one row at most.")}
+
+
 # credentials
 
 WORDS = secrets.Dictionary({"render": 50, "bucket": 40, "snapshot": 40, "reader": 30})

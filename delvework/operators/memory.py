@@ -56,3 +56,19 @@ def newest_headings(notes: DataFrame, limit: int = 10) -> DataFrame:
     glob = notes.where("module IS NULL AND ts IS NOT NULL").dropDuplicates(["note_id"])
     scored = glob.select(F.col("note_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("score"), F.get(F.split("body", "\n"), F.lit(0)).alias("heading"))
     return top(scored, limit).select("rank", "id", "heading")
+
+
+def added(notes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The notes with fresh ones appended; ids that are known already are not added again."""
+    new = fresh.dropDuplicates(["note_id"]).join(notes.select("note_id"), "note_id", "left_anti")
+    return notes.unionByName(new.select(*notes.columns))
+
+
+def for_module(notes: DataFrame, key: str, newest_days: int = 10) -> DataFrame:
+    """The notes, each once, of the newest days that speak of a module: by its key or by the last part of it."""
+    once = notes.where("ts IS NOT NULL").dropDuplicates(["note_id"])
+    days = once.select(F.to_date("ts").alias("day")).distinct().orderBy(F.desc("day")).limit(newest_days)
+    text = F.lower(F.concat_ws("\n", "module", "body"))
+    hit = F.contains(text, F.lit(key.lower())) | F.contains(text, F.lit(key.rsplit("/", 1)[-1].lower()))
+    # as many days as were asked for, so they can be sent to every executor
+    return once.where(hit).withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day", "left_semi")

@@ -117,3 +117,25 @@ def load(modules: DataFrame, notes: DataFrame, docs: DataFrame, now: int) -> Dat
     out = statuses(modules, now).join(n, "module_key", "left").join(d, "module_key", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("notes", "docs")]
     return out.select("module_key", "state", zero[0], "last_note", zero[1])
+
+
+def removed(modules: DataFrame, keys: list[str], hard: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(modules, archive) without or with cleared ``keys``: cleared ones become unknown, ``hard`` ones leave.
+
+    The archive has the rows of ``keys`` as they were; it replaces what was archived of them before.
+    """
+    hit = F.col("module_key").isin(*keys)
+    kept = modules.where(~hit) if hard else modules.select("module_key", F.when(hit, "unknown").otherwise(F.col("raw_status")).alias("raw_status"))
+    return kept.select("module_key", "raw_status"), modules.where(hit).select("module_key", "raw_status")
+
+
+#: Kinds of a module's documents, in the order they are listed (fixed values).
+DOCUMENTS = ("api", "internals", "notes")
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """``module_key, documents``: which kinds of documents each module has, by the beginning of the file's name."""
+    kind = F.regexp_extract("file_path", rf"(?:^|/)({'|'.join(DOCUMENTS)})[^/]*\.md$", 1)
+    per = docs.where("module IS NOT NULL AND file_path IS NOT NULL").groupBy(F.col("module").alias("module_key")).agg(F.collect_set(kind).alias("k"))
+    listed = F.filter(F.array(*(F.lit(d) for d in DOCUMENTS)), lambda d: F.array_contains("k", d))
+    return per.select("module_key", F.array_join(listed, ", ").alias("documents"))

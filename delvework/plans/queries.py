@@ -306,3 +306,23 @@ def note_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def newest_notes(spark: SparkSession, d: str) -> DataFrame:
     return memory.newest_headings(table(spark, d, "notes"), 10)
+
+
+@query
+def project_summary(spark: SparkSession, d: str) -> DataFrame:
+    return listing.project_summary(_paths(spark, d))
+
+
+@query
+def module_sources(spark: SparkSession, d: str) -> DataFrame:
+    return listing.module_sources(_paths(spark, d), table(spark, d, "modules"))
+
+
+@query
+def module_documents(spark: SparkSession, d: str) -> DataFrame:
+    return modules.documents(table(spark, d, "doc_chunks"))
+
+
+@query
+def corrections_for_module(spark: SparkSession, d: str) -> DataFrame:
+    return memory.for_module(table(spark, d, "notes"), "src/search", 40).select("note_id", "day")

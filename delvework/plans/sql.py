@@ -100,6 +100,8 @@ def _boundaries() -> str:
       FROM r WHERE regexp_replace(array_to_string(ls[s:e], chr(10)), '\\s', '', 'g') <> ''"""
 
 
+_SOURCES = "'rs', 'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'vue', 'svelte', 'py', 'pyi', 'go', 'java', 'kt', 'kts', 'swift', 'cpp', 'cc', 'cxx', 'c', 'h', 'hpp', 'cs', 'rb', 'php', 'scala', 'lua', 'sh', 'bash'"
+
 SQL: dict[str, str] = {
     "line_window_chunks": f"""WITH f AS (SELECT 'doc/' || doc_id AS p, {_lines('text')} AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
       w AS (SELECT p, ls, unnest(range(0, greatest(CAST(ceil((len(ls) - 10) / 7.0) AS BIGINT), 0) + 1)) AS k FROM f WHERE len(ls) > 0),
@@ -169,4 +171,14 @@ SQL: dict[str, str] = {
     "note_blocks": """SELECT note_id, md5(any_value('## [' || strftime(ts, '%Y-%m-%d %H:%M') || ' UTC]' || CASE WHEN module IS NULL THEN '' ELSE '  Module: ' || module END || chr(10) || chr(10) || coalesce(body, '')
       || CASE WHEN len(coalesce(tags, [])) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(tags, lambda t: '#' || t), ' ') ELSE '' END)) AS digest FROM notes WHERE ts IS NOT NULL GROUP BY note_id""",
     "newest_notes": "SELECT CAST(row_number() OVER (ORDER BY ts DESC, note_id) AS INTEGER) AS rank, note_id AS id, string_split(body, chr(10))[1] AS heading FROM (SELECT note_id, any_value(ts) AS ts, any_value(body) AS body FROM notes WHERE module IS NULL AND ts IS NOT NULL GROUP BY note_id) ORDER BY ts DESC, note_id LIMIT 10",
+    "project_summary": f"""WITH p AS (SELECT path, string_split(path, '/') AS parts FROM ({_PATHS})),
+      k AS (SELECT path, {_EXT.format(p='path')} AS e FROM p WHERE len(parts) <= 4 AND len(list_filter(parts, lambda x: starts_with(x, '.') OR x IN ('node_modules', 'target', 'dist', 'build', 'vendor'))) = 0),
+      e AS (SELECT e, count(*) AS n FROM k GROUP BY e)
+      SELECT CAST((SELECT count(*) FROM k) AS BIGINT) AS files, coalesce((SELECT string_agg(e, ', ' ORDER BY e) FROM e WHERE n > 2 AND e <> '~'), '') AS languages,
+      coalesce((SELECT string_agg(path, ', ' ORDER BY path) FROM k WHERE string_split(path, '/')[-1] IN ('main.rs', 'lib.rs', 'index.ts', 'index.js', 'main.py', 'app.py', 'main.go', 'App.vue', 'App.tsx', 'server.ts', 'server.js', 'main.kt', 'Main.java', 'vite.config.ts', 'vite.config.js')), '') AS entries""",
+    "module_sources": f"SELECT module_key, path FROM modules, (SELECT path, {_EXT.format(p='path')} AS e FROM ({_PATHS})) WHERE e IN ({_SOURCES}) AND (path = module_key OR starts_with(path, module_key || '/') OR (module_key = '_root_' AND NOT contains(path, '/')))",
+    "module_documents": """SELECT module AS module_key, array_to_string(list_filter(['api', 'internals', 'notes'], lambda d: list_contains(k, d)), ', ') AS documents FROM
+      (SELECT module, list(DISTINCT regexp_extract(file_path, '(?:^|/)(api|internals|notes)[^/]*\\.md$', 1)) AS k FROM doc_chunks WHERE module IS NOT NULL AND file_path IS NOT NULL GROUP BY module)""",
+    "corrections_for_module": """WITH n AS (SELECT note_id, any_value(CAST(ts AS DATE)) AS day, lower(concat_ws(chr(10), any_value(module), any_value(body))) AS t FROM notes WHERE ts IS NOT NULL GROUP BY note_id)
+      SELECT note_id, day FROM n WHERE (contains(t, 'src/search') OR contains(t, 'search')) AND day IN (SELECT DISTINCT day FROM n ORDER BY day DESC LIMIT 40)""",
 }

@@ -123,3 +123,27 @@ def test_stream_leads_to_the_same_index(spark, tmp_path):
     spark.createDataFrame([("b.sh", "m", "g() {\n}")], schema).write.mode("append").parquet(src)
     watch(spark, src, out, cp).awaitTermination(120)
     assert sorted(r.symbol_name for r in index.Snapshots(spark, out).read("chunks").collect()) == ["f", "g"]
+
+
+def test_removed_and_documents(spark):
+    mods = spark.createDataFrame([("a", "partial:1"), ("b", "unknown")], "module_key string, raw_status string")
+    kept, archive = modules.removed(mods, ["a"])
+    assert sorted(map(tuple, kept.collect())) == [("a", "unknown"), ("b", "unknown")] and [tuple(r) for r in archive.collect()] == [("a", "partial:1")]
+    assert [r.module_key for r in modules.removed(mods, ["a"], hard=True)[0].collect()] == ["b"]
+    docs = spark.createDataFrame([("a", "modules/a/notes_1.md"), ("a", "modules/a/api.md"), ("b", "modules/b/history.md"), (None, "api.md")], "module string, file_path string")
+    assert {r.module_key: r.documents for r in modules.documents(docs).collect()} == {"a": "api, notes", "b": ""}
+
+
+def test_summary_and_notes(spark):
+    from delvework.sources.changes import changed_paths
+
+    paths = spark.createDataFrame([(p,) for p in ("src/main.rs", "src/a.rs", "src/b.rs", "x.py", "dist/c.rs", ".git/d.rs", "a/b/c/d/e.rs", None)], "path string")
+    assert tuple(listing.project_summary(paths).first()) == (4, "rs", "src/main.rs")
+    assert tuple(listing.project_summary(paths.where("false")).first()) == (0, "", "")
+    t = datetime.datetime
+    schema = "note_id long, ts timestamp, module string, body string"
+    notes = spark.createDataFrame([(1, t(2030, 1, 1), "src/search", "x"), (2, t(2030, 1, 2), None, "about Search"), (3, t(2030, 1, 3), None, "other")], schema)
+    more = memory.added(notes, spark.createDataFrame([(3, t(2030, 9, 9), None, "again"), (4, t(2030, 1, 4), "src/search", "new")], schema))
+    assert sorted(r.note_id for r in more.collect()) == [1, 2, 3, 4]
+    assert sorted(r.note_id for r in memory.for_module(more, "src/search", 3).collect()) == [2, 4]
+    assert sorted(r.path for r in changed_paths(paths, paths).collect()) == sorted(r.path for r in paths.where("path IS NOT NULL").collect())

@@ -13,9 +13,8 @@ CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
 def lines(text: Column) -> Column:
     """Lines of a text: split at line feeds, a carriage return before one dropped, no empty last line."""
-    parts = F.split(F.regexp_replace(text, "\r(?=\n|$)", ""), "\n", -1)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    body = F.regexp_replace(F.regexp_replace(text, "\r(?=\n|$)", ""), "\n\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
 def bigrams(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from delvework.llm import doc_pairs, leakage, mixing, nl_in_code, provenance, reading_level, secrets, splitting
-from delvework.sources.tables import table
+from delvework.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +33,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.places(secrets.redact_secrets(table(spark, d, "chunks")))
+    return secrets.places(secrets.redact_secrets(spread(table(spark, d, "chunks"))))
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.redact_secrets(table(spark, d, "chunks")).select("id", "file_path", "redacted")
+    return secrets.redact_secrets(spread(table(spark, d, "chunks"))).select("id", "file_path", "redacted")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,23 +49,23 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return doc_pairs.found(doc_pairs.documented_functions(table(spark, d, "chunks")))
+    return doc_pairs.found(doc_pairs.documented_functions(spread(table(spark, d, "chunks"))))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return doc_pairs.documented_functions(table(spark, d, "chunks"))
+    return doc_pairs.documented_functions(spread(table(spark, d, "chunks")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.found(leakage.contaminated(table(spark, d, "documents"), table(spark, d, "eval_items")))
+    return leakage.found(leakage.contaminated(spread(table(spark, d, "documents")), table(spark, d, "eval_items")))
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.contaminated(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.contaminated(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+    return reading_level.reading_levels(spread(table(spark, d, "documents")), table(spark, d, "level_labels"))
 
 
 QUERIES: dict[str, Query] = {

@@ -361,9 +361,9 @@ def dictionary(chunks: DataFrame, share: float = WORD_SHARE) -> Dictionary:
     text = F.concat_ws(" ", F.coalesce("symbol_name", F.lit("")), F.regexp_replace(F.coalesce("file_path", F.lit("")), r"[^/]*$", ""))
     split = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
     counts = chunks.select(F.explode(F.regexp_extract_all(F.lower(split), F.lit("[a-z]{3,20}"), F.lit(0))).alias("w")).groupBy("w").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(2, math.ceil(total * share))
-    return Dictionary({r.w: r["count"] for r in counts.where(F.col("count") >= least).collect()})
+    total = F.coalesce(counts.agg(F.sum("count")).scalar(), F.lit(0))
+    kept = counts.where(F.col("count") >= F.greatest(F.lit(2), F.ceil(total * share)))
+    return Dictionary({r.w: r["count"] for r in kept.collect()})
 
 
 _SCHEMA = pa.schema(

@@ -31,7 +31,7 @@ SENT_WINDOWS = 2_000_000
 #: Words by which a quote may be shifted against the item where words were added or dropped.
 SHIFT = 4
 #: Share of the slots inside a quote that must hold the item's values.
-SLOTS_AGREE = 0.75
+SLOTS_AGREE = 0.7
 
 _NUM, _NAME, _UNIT = 11, 13, 17
 #: Units of measure behind numbers (fixed values).

@@ -67,8 +67,8 @@ def symbol_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def python_syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").dropDuplicates(["id"]).where("start_line = 1")
-    return chunking.python_chunks(c.select("file_path", "module", "content"), 60, 10).select("id", "start_line", "end_line", "symbol_name")
+    files = chunking.reassembled(table(spark, d, "chunks").where(chunking.is_python(F.col("file_path"))))
+    return chunking.python_chunks(files, 60, 10).select("id", "start_line", "end_line", "symbol_name")
 
 
 @query

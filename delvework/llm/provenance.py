@@ -227,10 +227,10 @@ def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MO
     """``file_path, kind, recurring``: the files nobody wrote by hand, with what they are.
 
     ``kind`` is vendored, generated, minified, data or copy; ``recurring`` is the share of the file's fingerprints that
-    occur in vendored files or in at least ``modules`` unrelated modules (a null or empty module counts as one): a file
-    of which at least the share ``copied`` recurs is a copy. The modules of a fingerprint are counted in a bitmap of 64
-    bits, so that the sum over a fingerprint that a third of all files have stays one number. Rows without path or
-    content are left out; repeated and overlapping chunks count once.
+    occur in vendored files or in at least ``modules`` unrelated modules (the directory below the root; files outside of
+    any count as one module): a file of which at least the share ``copied`` recurs is a copy. Fingerprints are reduced
+    to distinct ones per module before a fingerprint's modules are counted, both map-side, so that one that a third of
+    all files have stays small. Rows without path or content are left out; repeated and overlapping chunks count once.
     """
     blocks = line_blocks(chunks, block_lines).select("file_path", "block", "offs", "texts")
     feats = blocks.mapInArrow(_features, _OUT).persist()
@@ -238,9 +238,11 @@ def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MO
         F.first("path_kind").alias("path_kind"), *(F.sum(c).alias(c) for c in ("chars", "packed", "data", "windows", "uniq")), F.max("gen").alias("gen"), F.max("third").alias("third")
     ).select("file_path", judged().alias("kind"))
     seeds = (F.col("path_kind") == "vendored") | F.col("third").isNotNull()
-    module = F.element_at(F.split("file_path", "/"), F.least(F.lit(2), F.size(F.split("file_path", "/"))))
-    each = feats.select("file_path", F.coalesce(seeds, F.lit(False)).alias("seed"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(module), F.lit(64)).cast("int")).alias("bit"), F.explode("fps").alias("fp"))
-    known = each.groupBy("fp").agg(F.max("seed").alias("seed"), F.bit_or("bit").alias("bits")).where(F.col("seed") | (F.bit_count("bits") >= modules)).select("fp")
+    parts = F.split("file_path", "/")
+    module = F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
+    each = feats.select("file_path", F.coalesce(seeds, F.lit(False)).alias("seed"), module.alias("module"), F.explode("fps").alias("fp"))
+    once = each.groupBy("fp", "module").agg(F.max("seed").alias("seed"))
+    known = once.groupBy("fp").agg(F.max("seed").alias("seed"), F.count("*").alias("n")).where(F.col("seed") | (F.col("n") >= modules)).select("fp")
     share = each.select("file_path", "fp").join(known.withColumn("hit", F.lit(1)), "fp", "left").groupBy("file_path").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recurring"))
     both = files.join(share, "file_path", "left")
     kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("recurring") >= copied, "copy")

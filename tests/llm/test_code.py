@@ -280,3 +280,20 @@ def test_fingerprints_survive_moves():
     fb = set(provenance.fingerprints([7] * 50 + a)[0].tolist())
     assert len(fa & fb) >= 0.9 * len(fa)
     assert provenance.fingerprints([])[1] == 0 and len(provenance.fingerprints([1, 2])[0]) == 1
+
+
+def test_modules_of_a_copy_are_counted_exactly(spark):
+    rnd = random.Random(3)
+    code = lambda: "\n".join(f"def {rnd.choice('abcdef')}{'xyzuvw'[rnd.randrange(6)] * rnd.randrange(1, 9)}({', '.join(rnd.sample('pqrst', 3))}):\n    return {rnd.choice('abcdef')} {rnd.choice('+-*/%')} {rnd.choice('ghijkl')}[{rnd.choice('mno')}]" for _ in range(60))
+    # modules that a map of 64 bits can't tell from each other
+    names = [f"mod{i}" for i in range(400)]
+    same = {}
+    for n, bit in spark.createDataFrame([(n,) for n in names], "n string").selectExpr("n", "pmod(xxhash64(n), 64)").collect():
+        same.setdefault(bit, []).append(n)
+    four = next(v for v in same.values() if len(v) >= 4)[:4]
+    copy, three, root = code(), code(), code()
+    files = [(f"src/{m}/copy.py", copy) for m in four] + [(f"src/{m}/three.py", three) for m in names[:3] for _ in range(2)]
+    # below the root there is no module: they count as one, with the file outside of any directory
+    files += [(f"src/root{i}.py", root) for i in range(5)] + [("top.py", root), ("src/mod0/root.py", root), ("src/mod1/root.py", root)]
+    df = frame(spark, [(f"{p}:1-120", p, 1, 120, t, None, None) for p, t in files])
+    assert {(r.file_path, r.kind) for r in provenance.not_handwritten(df).collect()} == {(f"src/{m}/copy.py", "copy") for m in four}

@@ -30,7 +30,7 @@ MIN_WORDS, MIN_CHARS, ONE_IN = 20, 30, 8
 SENT_WINDOWS = 2_000_000
 #: Words by which a quote may be shifted against the item where words were added or dropped.
 SHIFT = 4
-#: Share of the slots inside a quote that must hold the item's values.
+#: Share of the slots inside a quote that must hold the item's values; one slot may differ where two hold them.
 SLOTS_AGREE = 0.7
 
 _NUM, _NAME, _UNIT = 11, 13, 17
@@ -171,11 +171,42 @@ def longest(matched: np.ndarray, weight: np.ndarray, least: int) -> tuple[int, i
     return (int(size[j]), int(start[j]), j) if size[j] >= least and least > 0 else (0, 0, 0)
 
 
+def slots_agree(right, inside):
+    """Whether ``right`` of the slots ``inside`` a stretch are enough for a quote; numbers or arrays.
+
+    A single other slot is an altered word as any other, if at least two slots hold the item's values beside it.
+    """
+    return (right >= SLOTS_AGREE * inside) | (inside - right <= 1) & (right >= 2)
+
+
+def quoted(matched: np.ndarray, slots: np.ndarray, weight: np.ndarray, least: int) -> int:
+    """Weight of the longest stretch, as :func:`longest` has them, whose slots agree too; 0 if none."""
+    size, i, j = longest(matched, weight, least)
+    if not size or slots_agree((matched[i:j] & slots[i:j]).sum(), slots[i:j].sum()):
+        return size
+    w = np.concatenate([[0], np.cumsum(weight)])
+    least = min(least, -(-int(w[-1]) * 9 // 10))
+    f = np.concatenate([[0], np.cumsum(np.where(matched, -1, ONE_IN - 1))])
+    n = np.concatenate([[0], np.cumsum(slots)])
+    ok = np.concatenate([[0], np.cumsum(matched & slots)])
+    ends, best = np.flatnonzero(matched) + 1, 0
+    for i in np.flatnonzero(matched):
+        least = max(least, best + 1)
+        j = ends[np.searchsorted(w[ends], w[i] + least) :]
+        if not len(j):
+            break
+        j = j[(f[j] <= f[i]) & slots_agree(ok[j] - ok[i], n[j] - n[i])]
+        if len(j):
+            best = int(w[j[-1]] - w[i])
+    return best
+
+
 def check(item: np.ndarray, slots: np.ndarray, weight: np.ndarray, least: int, doc: np.ndarray, diagonal: int) -> int:
     """Weight of the longest quote of an item near a diagonal of the document; 0 if there is none long enough.
 
-    Of the slots inside the quote, at least ``SLOTS_AGREE`` must hold the item's values: a likeness in which just the
-    names and numbers differ may have few enough altered words, yet is no quote.
+    Of the slots inside the quote, enough must hold the item's values (:func:`slots_agree`): a likeness in which just
+    the names and numbers differ may have few enough altered words, yet is no quote. What stands around a quote doesn't
+    count against it: every stretch that is long enough is tried.
     """
     m = len(item)
     rows = np.zeros((2 * SHIFT + 1, m), bool)
@@ -186,13 +217,7 @@ def check(item: np.ndarray, slots: np.ndarray, weight: np.ndarray, least: int, d
             rows[k, lo:hi] = doc[a + lo : a + hi] == item[lo:hi]
     if not longest(rows.any(axis=0), weight, least)[0]:
         return 0
-    best = 0
-    for matched in (rows[SHIFT], _aligned(rows)):
-        size, i, j = longest(matched, weight, least)
-        inside = slots[i:j]
-        if size and (matched[i:j] & inside).sum() >= SLOTS_AGREE * inside.sum():
-            best = max(best, size)
-    return best
+    return max(quoted(matched, slots, weight, least) for matched in (rows[SHIFT], _aligned(rows)))
 
 
 def _aligned(rows: np.ndarray) -> np.ndarray:

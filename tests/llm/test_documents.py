@@ -56,6 +56,36 @@ def test_longest_by_brute_force():
         assert leakage.longest(m, w, 20)[0] == want
 
 
+def test_quoted_by_brute_force():
+    rnd = random.Random(6)
+    for _ in range(300):
+        n = rnd.randrange(1, 45)
+        m, s = np.array([rnd.random() < 0.88 for _ in range(n)]), np.array([rnd.random() < 0.3 for _ in range(n)])
+        m &= ~s | np.array([rnd.random() < 0.7 for _ in range(n)])
+        w = np.array([rnd.randrange(1, 4) for _ in range(n)])
+        least, want = min(20, -(-int(w.sum()) * 9 // 10)), 0
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                right, inside = int((m & s)[i:j].sum()), int(s[i:j].sum())
+                if m[i] and m[j - 1] and 8 * (~m[i:j]).sum() <= j - i and w[i:j].sum() >= least and (right >= 0.7 * inside or inside - right <= 1 and right >= 2):
+                    want = max(want, int(w[i:j].sum()))
+        assert leakage.quoted(m, s, w, 20) == want
+
+
+def test_quotes_beside_other_values():
+    item = "Whenever the clerk of the archive opens a drawer, a small lamp above the shelf turns green and stays lit until somebody has closed every box that was left open behind it, and a bell near the gate rings. "
+    tail = "After that, Naxnaxmon counts 41 lamps, Lanheplan 72 shelves and 93 doors of the hall."
+    its = leakage.Items([(1, item + tail), (2, "Naxnaxmon")])
+    got = lambda text: [(i, q) for i, q, *_ in leakage.leaks(text, its)]
+    # words quoted as they are, then a text with other values
+    other = tail.replace("Naxnaxmon", "Velobtir").replace("41", "17").replace("72", "28").replace("Lanheplan", "Kuslanqua").replace("93", "55")
+    assert got(item + other)[0][0] == 1
+    # three slots, of which one is altered
+    short = "The clerk Naxnaxmon opens the drawer behind the emblem, skips 1050 pending names of the archive and then closes the other 2455 boxes in the hall."
+    its = leakage.Items([(1, short), (2, "see Naxnaxmon")])
+    assert got(short.replace("1050", "1051")) and not got(short.replace("1050", "3").replace("2455", "4").replace("Naxnaxmon", "Velobtir"))
+
+
 def test_leaks_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (2, OTHER, None), (3, None, None), (None, ITEM, None), (4, "", None), (5, "filler words " * 50_000 + ITEM, None)], "doc_id long, text string, item_id string")
     its = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (None, ITEM)], "item_id long, prompt string")

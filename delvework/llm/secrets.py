@@ -61,8 +61,9 @@ _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _JWT = re.compile(r"(?<![\w.-])eyJ[\w-]{6,}\.[\w-]{6,}\.[\w-]{6,}")
 _URL = re.compile(r"[a-zA-Z][\w+.-]*://([^\s:/@\"'<>`]+):([^\s@\"'<>`/]+)@([\w.-]+)")
 _SCHEME = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9+/=._~:-]{8,})")
-_QUOTED = re.compile(r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>[^\s\"'`\\]{6,200})(?P=q)")
-_NAME_BEFORE = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\])]*\s*(?::\s*&?'?[\w<>\[\]. ]+?)?\s*(?::=|=>|==|=|:|,)\s*(?:[A-Za-z]{1,2}(?=[\"'`])|\w+\(|new \w+\()?\s*$")
+_QUOTED = re.compile(r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>[^\s\"'`\\]{6,})(?P=q)")
+#: The name that a literal is given to, read backwards from the literal.
+_NAME_BEFORE = re.compile(r"\s*(?:\(\w+(?: wen)?|[A-Za-z]{1,2})?\s*(?P<by>=:|>=|==|=|:|,)\s*(?:[\w<>\[\]. ]+?'?&?\s*:)?\s*[\"'\])]*(?P<k>[\w$.-]*[A-Za-z_$])")
 _CONT = re.compile(r"\s*(?:\+|\.\.|\.|\\|<<|&|\|\|)?[ \t]*\\?\r?\n\s*(?:\+|\.\.|\.|//|\#)?\s*([\"'`])([^\s\"'`\\]+)\1")
 _CLI = re.compile(r"(?:--?(?:password|passwd|token|secret|api-?key|access-?key|key|auth|pass|pwd?|credentials?)[= ]|(?:\s-u\s+|--user[= ])[\w.-]+:)([\"']?)([^\s\"'$<{]\S{5,})\1", re.I)
 #: A value to fall back on, and the name of a variable before it.
@@ -96,7 +97,14 @@ _CONFIG_LINE = {
     "": re.compile(r"^[ \t]*(?:[#;/]+[ \t]*)?(?:export[ \t]+|-[ \t]+)?[\"']?(?P<k>[A-Za-z_][\w.-]*)[\"']?[ \t]*[=:][ \t]*(?P<q>[\"']?)(?P<v>[^\r\n]*?)(?P=q)[ \t]*,?[ \t]*\r?$", re.M),
 }
 _YAML_BLOCK = re.compile(r"^(?P<pad>[ \t]*)[\"']?(?P<k>[A-Za-z_][\w.-]*)[\"']?[ \t]*:[ \t]*[|>][+-]?[ \t]*\r?\n(?P<v>[ \t]+[^\s][^\n]*)", re.M)
-_COMMENT_PAIR = re.compile(r"(?:^|[\s(\"'`])(?P<k>[A-Za-z_][\w.-]*)[ \t]*(?:=|:|:=)[ \t]*(?P<v>[^\s\"'`,;()]{6,120})")
+_COMMENT_PAIR = re.compile(r"(?:^|[\s(\"'`])(?P<k>[A-Za-z_][\w.-]*)[ \t]*(?:=|:|:=)[ \t]*(?P<v>[^\s\"'`,;()]{6,})")
+#: A key and its value anywhere in a line of settings: quoted, also within a string, or bare up to the end of the pair.
+_PAIR = re.compile(
+    r"(?<![\w.$])(?<!\$\{)(?P<e>\\*[\"'])?(?P<k>[A-Za-z_][\w.-]*)(?(e)(?P=e))(?:[ \t]*[=:][ \t]*(?:(?P<q>\\*[\"'])(?P<v>(?:(?!(?P=q))(?:\\.|[^\\\r\n]))*)(?P=q)|(?P<b>[^\s\"'\\{}\[\],;&<>]+)(?=[ \t]*(?:[,;&}\]<\"'\\\r\n]|$)|[ \t]+[#;]))|=(?P<t>[^\s\"'\\{}\[\],;&<>]+))"
+)
+_PAIR_OPEN = re.compile(r"(?:^|[{,\[\n])[ \t]*(?:export[ \t]+|-[ \t]+)?$")
+#: Elements that have the name in an attribute, and the value in another or as their text.
+_NAMED_ELEMENT = re.compile(r"<[\w.:-]+[^<>]*?\s(?:name|key|id)\s*=\s*[\"'](?P<k>[\w.-]+)[\"'](?:[^<>]*?\svalue\s*=\s*(?P<q>[\"'])(?P<v>[^\"'<>]+)(?P=q)|[^<>]*>(?P<t>[^<>]+)</)")
 
 
 class Dictionary:
@@ -231,6 +239,7 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
             if is_secret(m["k"], m["v"], words) and not _SCHEME.search(m["v"]) and not _URL.search(m["v"]):
                 a = m.start("v") + len(m["v"]) - len(m["v"].lstrip())
                 hits.append((a, m.end("v"), "assignment"))
+        hits += _in_pairs(text, fam, words)
         if fam == "yaml":
             for m in _YAML_BLOCK.finditer(text):
                 v = m["v"].strip()
@@ -238,28 +247,28 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
                     a = m.start("v") + len(m["v"]) - len(m["v"].lstrip())
                     hits.append((a, a + len(v), "assignment"))
     else:
-        last = -1
+        last, back = -1, text[::-1]
         for m in _QUOTED.finditer(text):
             if m.start() < last:
                 continue
             v = m["v"]
             ls = text.rfind("\n", 0, m.start()) + 1
-            if not (len(v) >= 20 and _mixed(v)) and not _HINT.search(text, max(ls, m.start() - 60), m.start()) and not _CONT_MARK.match(text, m.end()):
+            n = _name_before(text, back, ls, m.start())
+            name = n["k"][::-1].rsplit(".", 1)[-1] if n and n["by"] != "," else ""
+            if not (len(v) >= 20 and _mixed(v)) and not _HINT.search(name) and not _CONT_MARK.match(text, m.end()):
                 continue
-            if text[ls : m.start()].strip() == "" and text[m.end() : m.end() + 1] in (",", "\n", "\r", ""):
+            if not secret_name(name) and text[ls : m.start()].strip() == "" and text[m.end() : m.end() + 1] in (",", "\n", "\r", ""):
                 continue  # a row of a table of data
-            n = _NAME_BEFORE.search(text[ls : m.start()][-120:])
-            name = n[1].rsplit(".", 1)[-1] if n and n[0].rstrip()[-1:] != "," else ""
-            end, parts = m.end("v"), [(m.start("v"), m.end("v"))]
+            parts = [(m.start("v"), m.end("v"))]
             c = _CONT.match(text, m.end())
-            while c and len(parts) < 40:
-                v, end = v + c[2], c.end(2)
+            while c:
                 parts.append((c.start(2), c.end(2)))
                 last = c.end()
                 c = _CONT.match(text, c.end())
-            if len(parts) > 1 and (len(v) > 120 or not name):
+            v = "".join(text[a:b] for a, b in parts)
+            if len(parts) > 1 and not name:
                 continue
-            if not name and (not n and not re.search(r"(?:[\w$]\s*\(|[=:,>]|return|\s)\s*[rbuf]?$", text[ls : m.start()]) or _in_list(text, m.start(), m.end())):
+            if not name and (not n and not re.search(r"(?:[\w$]\s*\(|[=:,>]|return|\s)\s*[rbuf]?$", text[max(ls, m.start() - 200) : m.start()]) or _in_list(text, m.start(), m.end())):
                 continue
             if is_secret(name, v, words) and not _SCHEME.search(v) and not _URL.search(v):
                 hits += [(a, b, "assignment" if i == 0 else "part") for i, (a, b) in enumerate(parts)]
@@ -268,10 +277,10 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
                 ls = text.rfind("\n", 0, m.start()) + 1
                 if re.search(r"(?:^|\s)(?://|#|--|\*|;|<!--)|[\"'`]", text[ls : m.start("k")]) or fam == "shell":
                     hits.append((m.start("v"), m.end("v"), "comment"))
-        for m in _CLI.finditer(text) if " -u " in text or "--" in text or " -p" in text else ():
-            if not _PLACEHOLDER.match(m[2]) and words.residual(m[2].rstrip("\"'")) >= 4:
-                hits.append((m.start(2), m.end(2), "argument"))
-        hits += _in_calls(text, words)
+    for m in _CLI.finditer(text) if " -u " in text or "--" in text or " -p" in text else ():
+        if not _PLACEHOLDER.match(m[2]) and words.residual(m[2].rstrip("\"'")) >= 4:
+            hits.append((m.start(2), m.end(2), "argument"))
+    hits += _in_calls(text, words)
     if said and len(low) == len(text):
         hits += _in_comments(text, low, words)
     hits.sort(key=lambda h: (h[0], -h[1]))
@@ -282,6 +291,45 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
     return out
 
 
+def _name_before(text: str, back: str, ls: int, at: int) -> re.Match | None:
+    """The name that the literal at ``at`` is given to, on its line or at the open end of the line above."""
+    if m := _NAME_BEFORE.match(back, len(text) - at, len(text) - ls):
+        return m
+    if ls == 0 or text[ls:at].strip(" \t(&@$bruf"):
+        return None
+    up = text.rfind("\n", 0, ls - 1) + 1
+    above = text[up : ls - 1].rstrip()
+    for cut in (above, above.rstrip("( \t\\")):
+        if cut and cut[-1] in "=:(":
+            if m := _NAME_BEFORE.match(back, len(text) - up - len(cut), len(text) - up):
+                return m
+    return None
+
+
+def _in_pairs(text: str, fam: str, words: Dictionary) -> list[tuple[int, int, str]]:
+    """Secrets among all pairs of keys and values of settings, however many stand on a line."""
+    hits, at = [], 0
+    users = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+    while m := _PAIR.search(text, at):
+        g = "v" if m["v"] is not None else "b" if m["b"] is not None else "t"
+        v, at = m[g], m.start(g)  # what is no secret may hold pairs in turn
+        if g != "v":
+            if re.match(r"^[@&*\w]*[(\[{]|^\$[\w({]", v) or fam == "yaml" and v[0] == "*" or not secret_name(m["k"]) and "=" in v.rstrip("="):
+                continue
+            if not _PAIR_OPEN.search(text, max(0, m.start() - 40), m.start()) and not (secret_name(m["k"]) and _STRANGE.search(v)):
+                continue
+        if is_secret(m["k"], v, words) and not _SCHEME.search(v) and not _URL.search(v) and not any(a < m.start(g) < b for a, b in users):
+            a = m.start(g) + len(v) - len(v.lstrip())
+            hits.append((a, a + len(v.strip()), "assignment"))
+            at = m.end()
+    for m in _NAMED_ELEMENT.finditer(text) if fam == "xml" else ():
+        g = "v" if m["v"] is not None else "t"
+        if secret_name(m["k"]) and is_secret(m["k"], m[g], words) and not _SCHEME.search(m[g]) and not _URL.search(m[g]):
+            a = m.start(g) + len(m[g]) - len(m[g].lstrip())
+            hits.append((a, a + len(m[g].strip()), "assignment"))
+    return hits
+
+
 def _in_calls(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
     """Passwords among the arguments of calls, as values to fall back on, and in fields of queries and headers."""
     hits = []

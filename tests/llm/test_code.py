@@ -214,6 +214,39 @@ def test_no_secrets(path, text):
     assert found(text, path) == []
 
 
+LONG = "vQ7!" + "kZ3pX9" * 40
+
+
+@pytest.mark.parametrize(
+    "path, text, what",
+    [
+        ("a.json", '{"user":"svc","password":"Willow-Otter-55","n":1}', ["Willow-Otter-55"]),
+        ("a.json", '{"a": "{\\"user\\":\\"x\\",\\"password\\":\\"Willow-Otter-55\\"}", "token": null}', ["Willow-Otter-55"]),
+        ("a.yaml", "db: {user: svc, password: Willow-Otter-55, pwd: 'p3pp3r!fal24'}", ["Willow-Otter-55", "p3pp3r!fal24"]),
+        ("a.yaml", "password: Willow-Otter-55 # until May", ["Willow-Otter-55"]),
+        ("a.toml", 'db = { user = "svc", password = "Willow-Otter-55" }', ["Willow-Otter-55"]),
+        ("a.xml", '<db user="svc" password="Willow-Otter-55"/>', ["Willow-Otter-55"]),
+        ("a.xml", '<add key="password" value="Willow-Otter-55"/><p name="token">p3pp3r!fal24</p>', ["Willow-Otter-55", "p3pp3r!fal24"]),
+        ("a.ini", "dsn = Server=db;Password=Willow-Otter-55;Pool=3", ["Willow-Otter-55"]),
+        ("a.env", "OPTS=-Ddb.password=p3pp3r!fal24 -Dn=1\nPW=${PASSWORD:-Willow-Otter-55}", ["p3pp3r!fal24", "Willow-Otter-55"]),
+        ("a.json", '  "dsn": "amqp://svc_token:WYgLPTgS2VsQv2PoIqNd8A@db2.lan.invalid:2116/token"', ["WYgLPTgS2VsQv2PoIqNd8A"]),
+        ("a.py", f'password = "{LONG}"', [LONG]),
+        ("a.py", 'password = b"Willow-Otter-55"', ["Willow-Otter-55"]),
+        ("a.rs", 'let password: Option<Some.Very.Long.Name.Of.A.Type.That.Goes.On.And.On.And.On.For.Long> = "Willow-Otter-55";', ["Willow-Otter-55"]),
+        ("a.rs", 'const PASSWORD: &str =\n    "Willow-Otter-55";', ["Willow-Otter-55"]),
+        ("a.py", 'password = (\n    "Willow-Otter-55"\n)', ["Willow-Otter-55"]),
+        ("a.py", 'password = "' + '" + \\\n    "'.join(LONG[i : i + 50] for i in range(0, 200, 50)) + '"\n', [LONG[:50]]),
+        ("a.json", '{"password":"changeme","token":"${TOKEN}","secret":"{{ x }}","token_ttl":"1449s","checksum":"5c5295647f03a72a11aff1dd301639a9f1aecf44"}', []),
+        ("a.yaml", "x: {password: ${PASSWORD}, token: *ref, secret: !vault a}\nnote: the token: read it\nrun: token=$(cat x) pwd=$PWD", []),
+        ("a.xml", '<a password="${P}" token="changeme" key="password" value="xxxxxxxx"/>', []),
+        ("a.kt", 'val chunk_table = intArrayOf(\n  "Pgaf1lFN7U18b1n1ZiK+rG7VtBXIMcFUviB",\n  "a4zbs2GS6cxIzWfSrXols8lTLoGqwr8ph5q"\n)', []),
+        ("a.py", 'names = [\n    "Willow-Otter-55",\n    "p3pp3r!fal24",\n]', []),
+    ],
+)
+def test_secrets_anywhere_in_a_line(path, text, what):
+    assert found(text, path) == what
+
+
 def test_redaction_keeps_the_rest():
     text = json.dumps({"a": 1, "password": "Willow-Otter-55", "key": KEY, "b": ["x"]}, indent=1)
     hits = secrets.find(text, "a.json", WORDS)

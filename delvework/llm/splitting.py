@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delvework.llm.islands import Source
+from delvework.llm.islands import Source, line_starts
 from delvework.llm.lexer import CODE, family, lex, states_of, transition
 
 #: Boundary strengths: inside a line, between lines (less the deeper), at a blank line, before a declaration.
@@ -44,18 +44,18 @@ def _packed(line: str) -> bool:
 
 
 def _segments(lines: list[str], decls: set[int], limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], list[float]]:
-    """Atomic segments (line, from, to) and the strength of the boundary before each; lines over the room are cut inside."""
-    room = max(1, limit // 2)
+    """Atomic segments (line, from, to) and the strength of the boundary before each.
+
+    A segment is a line, or a part of one that is too long: as many segments as overlap, and one more, take at most
+    half of ``limit``, so a piece always has room for its overlap and for text of its own.
+    """
+    room = max(1, limit // (2 * (overlap + 1)))
     segs, strength = [], []
     for i, line in enumerate(lines):
         blank_above = i > 0 and not lines[i - 1].strip()
         indent = len(line) - len(line.lstrip()) if line.strip() else 40
         s = DECL if i in decls else BLANK + 1 / (1 + indent) if blank_above else LINE + 1 / (1 + indent) if line.strip() else LINE / 2
         size, at = len(line) + 1, 0
-        if size <= room:
-            segs.append((i, 0, size))
-            strength.append(s)
-            continue
         while at < size:
             to = min(size, at + room)
             if to < size:  # behind a blank, comma, semicolon or bracket where there is one
@@ -67,32 +67,24 @@ def _segments(lines: list[str], decls: set[int], limit: int, overlap: int) -> tu
     return segs, strength
 
 
-def split_lines(lines: list[str], decls: set[int], limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (first segment line, offset, last line, end offset, overlap from line) of at most ``limit`` characters.
+def agglomerate(lines: list[str], decls: set[int], limit: int, overlap: int) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int, int]], list[float]]:
+    """(pieces, heads of natural units, segments, strengths) of a text by agglomerative merging.
 
     Segments are merged across their weakest boundary first, the smaller result first among equals, while the merged
-    text and the overlap that its first line brings along fit into ``limit``. A piece that begins inside a line has no
-    overlap; one whose overlap lines would take more than half of the limit has as many of them as fit there.
+    text and the ``overlap`` segments before it fit into ``limit`` characters. Where the merging has only declarations
+    left to merge across, the text stands in its natural units: their heads are the segments that begin with a
+    declaration. From there it goes on, across the declarations, up to the pieces (first segment, last segment).
     """
     segs, strength = _segments(lines, decls, limit, overlap)
     n = len(segs)
-
-    def lead(k: int) -> int:
-        i, at, _ = segs[k]
-        if k == 0 or at > 0:
-            return i
-        top, size = i, 0
-        while top > 0 and i - top < overlap and size + len(lines[top - 1]) + 1 <= limit // 2:
-            top -= 1
-            size += len(lines[top]) + 1
-        return top
-
-    tops = [lead(k) for k in range(n)]
-    extra = [sum(len(lines[j]) + 1 for j in range(tops[k], segs[k][0])) for k in range(n)]
     size = [b - a for _, a, b in segs]
+    before = [0]
+    for x in size:
+        before.append(before[-1] + x)
+    extra = [before[k] - before[max(0, k - overlap)] for k in range(n)]
     tail = list(range(n))
     nxt, prv, alive, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [0] * n
-    heap = []
+    heap: list[tuple] = []
 
     def push(a: int, b: int) -> None:
         if 0 <= a and b < n:
@@ -100,12 +92,15 @@ def split_lines(lines: list[str], decls: set[int], limit: int, overlap: int) ->
 
     for k in range(n - 1):
         push(k, k + 1)
+    natural = None
     while heap:
-        _, total, b, a, sa, sb = heapq.heappop(heap)
+        s, total, b, a, sa, sb = heapq.heappop(heap)
         if not (alive[a] and alive[b]) or stamp[a] != sa or stamp[b] != sb:
             continue
-        whole = segs[tail[b]][2] > len(lines[segs[tail[b]][0]])
-        if total + extra[a] - whole > limit:  # a line end that comes last is not part of a piece
+        if natural is None and s >= DECL:
+            natural = [k for k in range(1, n) if alive[k] and strength[k] >= DECL]
+        line_end = segs[tail[b]][2] > len(lines[segs[tail[b]][0]])
+        if total + extra[a] - line_end > limit:  # a line end that comes last is not part of a piece
             continue
         size[a], tail[a] = total, tail[b]
         alive[b] = False
@@ -115,47 +110,55 @@ def split_lines(lines: list[str], decls: set[int], limit: int, overlap: int) ->
             prv[nxt[b]] = a
         push(prv[a], a)
         push(a, nxt[a])
-    out, k = [], 0
+    pieces, k = [], 0
     while k < n:
-        last = (nxt[k] if nxt[k] < n else n) - 1
-        out.append((segs[k][0], segs[k][1], segs[last][0], segs[last][2], tops[k]))
+        pieces.append((k, (nxt[k] if nxt[k] < n else n) - 1))
         k = nxt[k]
-    return out
+    return pieces, natural or [], segs, strength
+
+
+def _cut_at(strength: float) -> str:
+    return "declaration" if strength >= DECL else "blank" if strength >= BLANK else "line" if strength > INSIDE else "inside"
 
 
 def split_text(text: str, path: str | None, first_line: int, symbol: str | None, limit: int, overlap: int) -> tuple[list[dict], list[dict]]:
-    """Pieces and declaration boundaries of one text."""
+    """Pieces and natural units of one text: see :func:`split_oversized`."""
     text = text.replace("\r\n", "\n")
     lines = text.split("\n")
-    bounds = declaration_boundaries(text, path, first_line)
-    names = {line: name for line, _, name in bounds}
+    decls = {line: (kind, name) for line, kind, name in declaration_boundaries(text, path, first_line)}
+    spans, natural, segs, strength = agglomerate(lines, set(decls), limit, overlap)
+    starts = line_starts(text)
     pieces = []
-    for i, at, j, to, top in split_lines(lines, set(names), limit, overlap):
-        own = lines[i][at:] if i < j else lines[i][at:to]
-        body = [*lines[top:i], own, *lines[i + 1 : j]] if i < j else [*lines[top:i], own]
-        if i < j:
-            body.append(lines[j][:to])
-        label = symbol if i == 0 and at == 0 else f"{symbol}(cont.+{i})" if symbol else names.get(i)
-        pieces.append({"start_line": first_line + top, "own_line": first_line + i, "end_line": first_line + j, "symbol_name": label, "content": "\n".join(body)})
-    return pieces, [{"line": first_line + line, "kind": kind, "name": name} for line, kind, name in bounds]
-
-
-_PIECE = pa.struct([("start_line", pa.int32()), ("own_line", pa.int32()), ("end_line", pa.int32()), ("symbol_name", pa.string()), ("content", pa.string())])
-_BOUND = pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string())])
-_SCHEMA = pa.schema([("id", pa.string()), ("file_path", pa.string()), ("pieces", pa.list_(_PIECE)), ("boundaries", pa.list_(_BOUND))])
+    for k, last in spans:
+        (top, top_at, _), (i, at, _), (j, _, to) = segs[max(0, k - overlap)], segs[k], segs[last]
+        begin, own, end = starts[top] + top_at, starts[i] + at, starts[j] + min(to, len(lines[j]))
+        label = symbol if k == 0 else f"{symbol}(cont.+{i})" if symbol else decls.get(i, (None, None))[1]
+        pieces.append(
+            {"start_line": first_line + top, "own_line": first_line + i, "end_line": first_line + j, "symbol_name": label, "content": text[begin:end], "own_at": own - begin, "cut_at": _cut_at(strength[k]) if k else None}
+        )
+    units = [(segs[k][0], *decls[segs[k][0]]) for k in natural]
+    return pieces, [{"line": first_line + line, "kind": kind, "name": name} for line, kind, name in units]
+
+
+_PIECE = pa.struct([("start_line", pa.int32()), ("own_line", pa.int32()), ("end_line", pa.int32()), ("symbol_name", pa.string()), ("content", pa.string()), ("own_at", pa.int32()), ("cut_at", pa.string())])
+_UNIT = pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string())])
+_SCHEMA = pa.schema([("id", pa.string()), ("file_path", pa.string()), ("pieces", pa.list_(_PIECE)), ("units", pa.list_(_UNIT))])
 _DDL = (
-    "id string, file_path string, pieces array<struct<start_line:int,own_line:int,end_line:int,symbol_name:string,content:string>>,"
-    "boundaries array<struct<line:int,kind:string,name:string>>"
+    "id string, file_path string, pieces array<struct<start_line:int,own_line:int,end_line:int,symbol_name:string,content:string,own_at:int,cut_at:string>>,"
+    "units array<struct<line:int,kind:string,name:string>>"
 )
 
 
 def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """``id, file_path, pieces, boundaries`` for each distinct chunk with more than ``limit`` characters of content.
-
-    ``pieces`` are cut by agglomerative merging (see :func:`split_lines`): each has at most ``limit`` characters, its
-    lines are file lines, ``own_line`` is its first line behind the overlap. ``boundaries`` are the declarations found
-    while segmenting, as file lines. A null start line counts as 1; a null path means no declarations, only lines and
-    blanks; null ids or contents give no row; equal ids count once; ``limit`` must exceed 2 and ``overlap`` be >= 0.
+    """``id, file_path, pieces, units`` for each distinct chunk with more than ``limit`` characters of content.
+
+    Both come from one agglomerative merging (see :func:`agglomerate`): ``units`` are the heads of the natural units
+    that it stands in before it merges across declarations, as file lines; ``pieces`` are what it ends in. A piece has
+    at most ``limit`` characters and begins with the last ``overlap`` segments (lines, or parts of lines too long) of
+    what stands before; its own text begins at character ``own_at`` on the file's line ``own_line``, where it was cut
+    at a declaration, blank line, line or inside a line (``cut_at``, null for the first). A null start line counts as
+    1; a null path means no declarations, only lines and blanks; null ids or contents give no row; equal ids count
+    once; ``limit`` must exceed 2 and ``overlap`` be >= 0.
     """
     if limit <= 2 or overlap < 0:
         raise ValueError("limit must exceed 2 and overlap must not be negative")
@@ -166,8 +169,8 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                pieces, bounds = split_text(r["content"], r["file_path"], r["start_line"], r["symbol_name"], limit, overlap)
-                rows.append({"id": r["id"], "file_path": r["file_path"], "pieces": pieces, "boundaries": bounds})
+                pieces, units = split_text(r["content"], r["file_path"], r["start_line"], r["symbol_name"], limit, overlap)
+                rows.append({"id": r["id"], "file_path": r["file_path"], "pieces": pieces, "units": units})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return big.mapInArrow(run, _DDL)
@@ -187,5 +190,5 @@ def pieces(split: DataFrame) -> DataFrame:
 
 
 def cut_lines(split: DataFrame) -> DataFrame:
-    """``id, cut_line``: the declaration boundaries of :func:`split_oversized`."""
-    return split.select("id", F.explode("boundaries").alias("b")).select("id", F.col("b.line").alias("cut_line")).distinct()
+    """``id, cut_line``: the lines at which the natural units of :func:`split_oversized` begin, behind the first."""
+    return split.select("id", F.explode("units").alias("u")).select("id", F.col("u.line").alias("cut_line")).distinct()

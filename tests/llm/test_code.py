@@ -24,25 +24,51 @@ def test_pieces_fit_and_give_back_the_text(seed):
     back, last = "", None
     for p in pieces:
         assert len(p["content"]) <= limit
-        lead = p["own_line"] - p["start_line"]
-        assert lead <= overlap
-        own = "\n".join(p["content"].split("\n")[lead:])
+        own, lead = p["content"][p["own_at"] :], p["content"][: p["own_at"]]
         if last is not None:
             back += "\n" if p["own_line"] > last else ""
+            assert back.endswith(lead) and (lead or not overlap)
         back += own
         last = p["end_line"]
     assert back == text
     assert pieces[0]["start_line"] == 11 and pieces[-1]["end_line"] == 10 + len(lines)
 
 
+@pytest.mark.parametrize("overlap", [0, 1, 3, 6])
+def test_every_piece_repeats_as_many_lines_as_said(overlap):
+    lines = [f"let a{i} = b{i} + {i};" for i in range(200)]
+    pieces, _ = splitting.split_text("\n".join(lines), "a.rs", 1, None, 600, overlap)
+    assert len(pieces) > 5
+    for p in pieces[1:]:
+        assert p["content"].split("\n")[: overlap + 1] == lines[p["own_line"] - 1 - overlap : p["own_line"]]
+    # a line without an end has overlap as well
+    packed, _ = splitting.split_text("f(a);" * 1000, "a.js", 1, None, 600, overlap)
+    for before, p in zip(packed, packed[1:]):
+        assert p["cut_at"] == "inside" and before["content"].endswith(p["content"][: p["own_at"]]) and (p["own_at"] > 0) == (overlap > 0)
+
+
+def test_limit_and_overlap_decide_where_is_cut():
+    text = "\n".join(f"fn f{i}() {{\n  a({i**5});\n\n  b({i});\n}}" for i in range(60))
+    cuts = lambda limit, overlap: [(p["own_line"], p["cut_at"]) for p in splitting.split_text(text, "a.rs", 1, None, limit, overlap)[0]]
+    heads = lambda limit, overlap: [u["line"] for u in splitting.split_text(text, "a.rs", 1, None, limit, overlap)[1]]
+    assert cuts(300, 0) != cuts(300, 12) and cuts(300, 0) != cuts(900, 0) and len(cuts(300, 0)) < len(cuts(300, 12))
+    # units are what merging ends in where it may not cross a declaration, so pieces are cut at them alone while they fit
+    assert heads(300, 0) == heads(900, 12) == list(range(6, 300, 5)) and all(at == "declaration" and line in heads(900, 12) for line, at in cuts(900, 12)[1:])
+    # one that is over the limit is cut inside as well
+    long = "fn g() {\n" + "  a();\n" * 200 + "}\nfn h() {}"
+    pieces, units = splitting.split_text(long, "a.rs", 1, None, 300, 2)
+    assert [u["line"] for u in units] == [203] and {p["cut_at"] for p in pieces} == {None, "line", "declaration"}
+
+
 def test_merging_by_brute_force():
     """No two neighbouring pieces could be merged still."""
     rnd = random.Random(4)
     lines = ["x" * rnd.randrange(0, 30) for _ in range(200)]
-    pieces = splitting.split_lines(lines, {50, 100, 150}, 300, 2)
-    size = [sum(len(x) + 1 for x in lines[a : b + 1]) for a, _, b, _, _ in pieces]
-    lead = [sum(len(x) + 1 for x in lines[t:a]) for a, _, _, _, t in pieces]
+    pieces, natural, segs, _ = splitting.agglomerate(lines, {50, 100, 150}, 300, 2)
+    size = [sum(b - a for _, a, b in segs[k : last + 1]) for k, last in pieces]
+    lead = [sum(b - a for _, a, b in segs[max(0, k - 2) : k]) for k, _ in pieces]
     assert all(size[i] + size[i + 1] + lead[i] > 301 for i in range(len(pieces) - 1))
+    assert [segs[k][0] for k in natural] == [50, 100, 150]
 
 
 RUST = """use a;
@@ -90,7 +116,7 @@ def test_split_edges(spark):
     for r in splitting.pieces(got).collect():
         by.setdefault(r.id, []).append(r)
     assert set(by) == {"a", "b", "f"} and all(len(p.content) <= 1000 for ps in by.values() for p in ps)
-    assert "".join(p.content for p in sorted(by["f"], key=lambda p: p.piece_no)) == "y" * 5000
+    assert "".join(p.content[p.own_at :] for p in sorted(by["f"], key=lambda p: p.piece_no)) == "y" * 5000
     assert min(p.start_line for p in by["a"]) == 5 and {p.symbol_name for p in by["a"]} == {None} and any("(cont.+" in p.symbol_name for p in by["b"])
     assert splitting.split_oversized(df.where("false"), 1000, 3).count() == 0
     with pytest.raises(ValueError):

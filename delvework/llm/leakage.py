@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text, by template canonicalisation.
 
-Numbers, names and units of the items and of the documents become typed placeholders; windows of the resulting
-templates are hash-joined, and the slots behind the placeholders are compared: windows whose slots agree are quotes of
-an item, windows whose slots differ are re-parameterised likenesses. Candidates with agreeing windows are then checked
-word by word.
+Numbers, units and names of the items and of the documents become typed placeholders; windows of the resulting
+templates are hash-joined, and the slots behind the placeholders are compared: windows whose slots agree speak for a
+quote of an item, windows whose slots differ for a re-parameterised likeness. Pairs with enough windows side by side
+are then checked word by word. What becomes a placeholder depends on the text alone, so an item is judged alike
+whatever other items there are and however they reach the documents.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ GRAM = 5
 #: A quote of L words with e = L // 8 altered keeps at least L - e - 4 (e + 1) windows: five or more from 20 words on.
 NEED = 5
 MIN_WORDS, MIN_CHARS, ONE_IN = 20, 30, 8
-#: Windows and characters of an evaluation set up to which it is sent to all executors; beyond, it is joined by shuffle.
-SENT_WINDOWS = 2_000_000
+#: Characters of an evaluation set up to which it is sent to all executors; beyond, its windows are joined by shuffle.
+SENT_CHARS = 2_000_000
+#: Parts into which a window that many documents share is dealt out in that join.
+SALTS = 16
 #: Words by which a quote may be shifted against the item where words were added or dropped.
 SHIFT = 4
 #: Share of the slots inside a quote that must hold the item's values; one slot may differ where two hold them.
@@ -82,64 +85,94 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(plain(text))
 
 
-class _Codes(dict):
-    """Hash of the template word and of the word itself, as high and low half of one number, filled as they come."""
+_IS_NUM, _IS_NAME, _IS_UNIT = 1, 2, 4
+
 
-    def __init__(self, items: Items):
-        self.items = items
+class _Codes(dict):
+    """Hash of each word, letter case aside, with what it can be as bits above, filled as they come."""
 
     def __missing__(self, tok: str) -> int:
         low = tok.casefold()
-        raw = zlib.crc32(low.encode()) | 32
-        if tok.isdigit():
-            tpl = _NUM
-        elif low in self.items.names or tok[0].isupper() and len(tok) >= 4 and low not in self.items.vocabulary:
-            tpl = _NAME
-        else:
-            tpl = raw
+        bits = _IS_NUM if tok.isdigit() else (_IS_NAME if _name_like(tok) else 0) | (_IS_UNIT if low in UNITS else 0)
         if len(self) > 200_000:
             self.clear()
-        c = self[tok] = tpl << 32 | raw
+        c = self[tok] = bits << 32 | zlib.crc32(low.encode()) | 32
         return c
 
 
+def _name_like(tok: str) -> bool:
+    return len(tok) >= 4 and tok[0].isupper() and not tok.isupper()
+
+
+_CODES = _Codes()
+
+
+def codes(toks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, template with numbers and units, template with names as well) of a text, as numbers."""
+    both = np.fromiter(map(_CODES.__getitem__, toks), np.uint64, len(toks))
+    raw, bits = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
+    num = bits == _IS_NUM
+    tpl = np.where(num, np.uint64(_NUM), raw)
+    after = np.flatnonzero(num[:-1] & (bits[1:] & np.uint64(_IS_UNIT) > 0)) + 1 if len(toks) > 1 else []
+    tpl[after] = _UNIT
+    return raw, tpl, np.where(bits & np.uint64(_IS_NAME) > 0, np.uint64(_NAME), tpl)
+
+
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def keys(raw: np.ndarray, tpl: np.ndarray, named: np.ndarray, likenesses: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of word windows, of template windows, of windows with names, positions of the latter).
+
+    A window with fewer than two words beside its placeholders says nothing of its text: it is keyed by its own words.
+    """
+    wr = windows(raw)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not len(wr):
+        return wr, wr, *none
+
+    def keyed(t: np.ndarray) -> np.ndarray:
+        said = np.convolve(t >= 32, np.ones(GRAM, np.int64), "valid")
+        return np.where(said >= 2, windows(t), wr ^ _SALT)
+
+    if not likenesses:
+        return wr, keyed(tpl), *none
+    at = np.flatnonzero(np.convolve(named == _NAME, np.ones(GRAM, np.int64), "valid"))
+    return wr, keyed(tpl), keyed(named)[at] + _SALT, at
+
+
 class Items:
-    """The items of an evaluation set with the postings of their template windows."""
+    """Items of an evaluation set with the postings of their template windows; each item stands for itself."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.rows = rows
-        toks = [(i, words(p)) for i, p in rows]
-        lower = {t for _, ts in toks for k, t in enumerate(ts) if not t[0].isupper()}
-        self.vocabulary = {t.casefold() for _, ts in toks for t in ts}
-        firsts = {ts[k + 1] for _, ts in toks for k in range(len(ts) - 1)}
-        self.names = {t.casefold() for t in firsts if t[0].isupper() and len(t) >= 4 and t.casefold() not in {x.casefold() for x in lower} and not t.isupper()}
-        self.memo = _Codes(self)
-        self.ids, self.raw, self.slots, self.weight, self.need = [], [], [], [], []
+        self.ids, self.raw, self.named, self.slots, self.weight, self.need = [], [], [], [], [], []
         postings = defaultdict(list)
-        for k, (i, ts) in enumerate(toks):
-            raw, tpl = self.codes(ts)
+        for k, (i, prompt) in enumerate(rows):
+            text = plain(prompt)
+            spans = list(_TOKEN.finditer(text))
+            ts = [m[0] for m in spans]
+            raw, tpl, named = codes(ts)
+            lower = {t for t in ts if t[0].islower()}
+            opens = np.array([not (x := text[: m.start()].rstrip(" \t\"'([«“„")) or x[-1] in ".!?:\n。！？" for m in spans], bool)
+            # a name is written large inside of sentences and never small
+            name = np.array([_name_like(t) and t.casefold() not in lower for t in ts], bool) & ~opens
             self.ids.append(i)
             self.raw.append(raw)
-            self.slots.append((tpl == _NUM) | (tpl == _NAME))
+            self.named.append(named)
+            self.slots.append((tpl == _NUM) | name)
             wide = sum(bool(_WIDE.match(t)) for t in ts) * 2 > len(ts)
             self.weight.append((np.array([len(t) for t in ts], np.int64), MIN_CHARS) if wide else (np.ones(len(ts), np.int64), MIN_WORDS))
             self.need.append(1 if wide or len(ts) < 24 else NEED)
-            for pos, (h, r) in enumerate(zip(windows(tpl), windows(raw))):
-                postings[int(h)].append((k, pos, int(r)))
+            wr, wt, wn, at = keys(raw, tpl, named)
+            for pos, h in [*enumerate(wt.tolist()), *zip(at.tolist(), wn.tolist())]:
+                postings[h].append((k, pos, int(wr[pos])))
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(h)] for h in self.keys]
 
     def __reduce__(self):
         return Items, (self.rows,)
 
-    def codes(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.fromiter(map(self.memo.__getitem__, toks), np.uint64, len(toks))
-        raw, tpl = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
-        for k in np.flatnonzero(tpl[:-1] == _NUM) if len(tpl) > 1 else ():
-            if toks[k + 1].casefold() in UNITS:
-                tpl[k + 1] = _UNIT
-        return raw, tpl
-
 
 def windows(codes: np.ndarray) -> np.ndarray:
     """A hash for each window of ``GRAM`` words."""
@@ -237,108 +270,129 @@ def _aligned(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaks(text: str, items: Items) -> list[tuple[int, int, int, int]]:
-    """(item id, words quoted, windows with agreeing slots, windows with other slots) of the items that a text quotes."""
-    raw, tpl = items.codes(words(text))
-    wt = windows(tpl)
-    if len(wt) == 0 or len(items.keys) == 0:
-        return []
-    at = np.searchsorted(items.keys, wt)
-    at[at == len(items.keys)] = 0
-    hit = np.flatnonzero(items.keys[at] == wt)
-    if len(hit) == 0:
+def compare(text: str, items: Items, likenesses: bool = True) -> list[tuple[int, str, int, int, int]]:
+    """(item id, kind, words, windows with agreeing slots, windows with other slots) of the items that a text meets.
+
+    ``kind`` is quote, or likeness where the text has the item's template with other slots; ``words`` is the length of
+    the longest stretch of that kind. Without ``likenesses`` only quotes are looked for: every window with agreeing
+    slots has the item's template with its names left in place, so windows with names as placeholders aren't needed.
+    """
+    raw, tpl, named = codes(words(text))
+    wr, wt, wn, at = keys(raw, tpl, named, likenesses)
+    if len(wr) == 0 or len(items.keys) == 0:
         return []
-    wr = windows(raw)
-    same: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    other: dict[int, int] = defaultdict(int)
-    for p in hit:
+    hashes, places = np.concatenate([wt, wn]), np.concatenate([np.arange(len(wt)), at])
+    index = np.searchsorted(items.keys, hashes)
+    index[index == len(items.keys)] = 0
+    same: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+    other: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+    for x in np.flatnonzero(items.keys[index] == hashes):
+        p = int(places[x])
         r = int(wr[p])
-        for k, pos, wraw in items.postings[at[p]]:
-            if wraw == r:
-                same[k][int(p) - pos] += 1
-            else:
-                other[k] += 1
+        for k, pos, wraw in items.postings[index[x]]:
+            (same if wraw == r else other)[k][p - pos].add(p)
     out = []
-    for k, diagonals in same.items():
-        if sum(diagonals.values()) < items.need[k]:
-            continue
+    for k in same.keys() | other.keys():
+        n_same, n_other = sum(map(len, same[k].values())), sum(map(len, other[k].values()))
         weight, least = items.weight[k]
-        best, tried = 0, []
-        for d, n in sorted(diagonals.items(), key=lambda x: (-x[1], x[0])):
-            if any(abs(d - t) <= SHIFT // 2 for t in tried) or sum(diagonals.get(d + s, 0) for s in range(-SHIFT, SHIFT + 1)) < items.need[k]:
-                continue
-            tried.append(d)
-            best = max(best, check(items.raw[k], items.slots[k], weight, least, raw, d))
-        if best:
-            out.append((items.ids[k], best, sum(diagonals.values()), other.get(k, 0)))
+        quote = max((check(items.raw[k], items.slots[k], weight, least, raw, d) for d in _diagonals(same[k], items.need[k])), default=0)
+        if quote:
+            out.append((items.ids[k], "quote", quote, n_same, n_other))
+        elif n_other and likenesses:
+            free = np.zeros(len(weight), bool)
+            both = {d: same[k].get(d, set()) | other[k].get(d, set()) for d in same[k].keys() | other[k].keys()}
+            like = max((check(items.named[k], free, weight, least, named, d) for d in _diagonals(both, items.need[k])), default=0)
+            if like:
+                out.append((items.ids[k], "likeness", like, n_same, n_other))
     return out
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("quoted", pa.int32()), ("agreeing", pa.int32()), ("differing", pa.int32())])
-_DDL = "doc_id long, item_id long, quoted int, agreeing int, differing int"
+def _diagonals(hits: dict[int, set], need: int) -> Iterator[int]:
+    """The diagonals with enough windows near them, the fullest first, without neighbours of those given already."""
+    if sum(map(len, hits.values())) < need:
+        return
+    tried: list[int] = []
+    for d, _ in sorted(hits.items(), key=lambda x: (-len(x[1]), x[0])):
+        if any(abs(d - t) <= SHIFT // 2 for t in tried) or sum(len(hits.get(d + s, ())) for s in range(-SHIFT, SHIFT + 1)) < need:
+            continue
+        tried.append(d)
+        yield d
 
 
-def contaminated(documents: DataFrame, items: DataFrame, sent_windows: int = SENT_WINDOWS) -> DataFrame:
-    """``doc_id, item_id, quoted, agreeing, differing``: the items of which each document repeats enough.
+def leaks(text: str, items: Items) -> list[tuple[int, int, int, int]]:
+    """(item id, words quoted, windows with agreeing slots, windows with other slots) of the items that a text quotes."""
+    return [(i, q, a, d) for i, kind, q, a, d in compare(text, items, False) if kind == "quote"]
 
-    A document leaks an item if it repeats at least 20 successive words of its prompt (30 characters where most of it
+
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("words", pa.int32()), ("agreeing", pa.int32()), ("differing", pa.int32())])
+_DDL = "doc_id long, item_id long, kind string, words int, agreeing int, differing int"
+
+
+def _compared(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in rows], schema=_SCHEMA)
+
+
+def contaminated(documents: DataFrame, items: DataFrame, likenesses: bool = True, sent_chars: int = SENT_CHARS) -> DataFrame:
+    """``doc_id, item_id, kind, words, agreeing, differing``: the items that each document quotes or resembles.
+
+    A document quotes an item if it repeats at least 20 successive words of its prompt (30 characters where most of it
     is Chinese or Japanese; nine tenths of a shorter prompt) with at most one word in eight altered, whatever the case,
-    punctuation, markup, hyphenation, quoting or escapes. ``quoted`` is the length of the longest such stretch,
-    ``agreeing`` and ``differing`` count template windows whose slots do and don't hold the item's values. Rows with
-    null ids or texts are left out; equal rows give equal results once. The items are sent to the executors if their
-    prompts have at most ``sent_windows`` characters together, as counted here; else template windows are joined by
-    shuffle and every executor only sees the items of its candidates.
+    punctuation, markup, hyphenation, quoting or escapes; it is a likeness if it repeats as much of the item's template
+    with other numbers and names in it. ``words`` is the length of the longest such stretch, ``agreeing`` and
+    ``differing`` count template windows whose slots do and don't hold the item's values. Without ``likenesses`` only the
+    quotes are returned, the same ones, and ``differing`` counts other numbers and units alone. Rows with null ids or texts
+    are left out; equal rows give equal results once. The items are sent to the executors if their prompts have at most
+    ``sent_chars`` characters together, as counted here; else the template windows are joined by shuffle. Both ways
+    judge the same pairs by the same rule, so the result is the same.
     """
     its = items.select("item_id", "prompt").where("item_id IS NOT NULL AND prompt IS NOT NULL").dropDuplicates(["item_id"])
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = its.agg(F.sum(F.length("prompt"))).first()[0] or 0
-    if size > sent_windows:
-        return _joined(docs, its)
+    if size > sent_chars:
+        return _joined(docs, its, likenesses)
     rows = [(r.item_id, r.prompt) for r in its.orderBy("item_id").collect()]
     ref = documents.sparkSession.sparkContext.broadcast(Items(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ref.value
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [{"doc_id": doc, "item_id": i, "quoted": q, "agreeing": a, "differing": d} for i, q, a, d in leaks(text, known)]
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            yield _compared([(doc, *r) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in compare(text, known, likenesses)])
 
     return docs.mapInArrow(run, _DDL).dropDuplicates(["doc_id", "item_id"])
 
 
-def _joined(docs: DataFrame, its: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, its: DataFrame, likenesses: bool) -> DataFrame:
     """The same by a shuffled join of window hashes, for sets too large to send.
 
-    Candidates come from windows of plain words here: names can't be told from a set that no executor sees whole.
+    Windows that many documents have are dealt out by document. Only pairs that share as many windows as a stretch needs
+    are compared, so texts move for few pairs.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = Items([])
         for batch in batches:
-            keys, hashes = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.unique(windows(none.codes(words(text))[0])).view(np.int64)
-                keys += [key] * len(h)
-                hashes += h.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "h"])
-
-    left = docs.mapInArrow(grams, "key long, h long").withColumnRenamed("key", "doc_id")
-    right = its.mapInArrow(grams, "key long, h long").withColumnRenamed("key", "item_id")
-    pairs = left.join(right, "h").select("doc_id", "item_id").distinct()
+                _, wt, wn, _ = keys(*codes(words(text)), likenesses)
+                h, n = np.unique(np.concatenate([wt, wn]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], names=["key", "h", "n"])
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = Items(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(one.ids, pa.int64()), pa.array(one.need, pa.int32())], names=["item_id", "need"])
+
+    left = docs.mapInArrow(grams, "key long, h long, n int").select(F.col("key").alias("doc_id"), "h", "n", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = its.mapInArrow(grams, "key long, h long, n int").select(F.col("key").alias("item_id"), "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = left.join(right, ["h", "salt"]).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"))
+    pairs = shared.join(its.mapInArrow(needs, "item_id long, need int"), "item_id").where("n >= need").select("doc_id", "item_id")
     full = pairs.join(its, "item_id").join(docs, "doc_id").select("doc_id", "item_id", "text", "prompt")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                out += [{"doc_id": r["doc_id"], "item_id": i, "quoted": q, "agreeing": a, "differing": d} for i, q, a, d in leaks(r["text"], Items([(r["item_id"], r["prompt"])]))]
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            yield _compared([(r["doc_id"], *x) for r in batch.to_pylist() for x in compare(r["text"], Items([(r["item_id"], r["prompt"])]), likenesses)])
 
-    return full.mapInArrow(verify, _DDL).dropDuplicates(["doc_id", "item_id"])
+    return full.mapInArrow(judge, _DDL).dropDuplicates(["doc_id", "item_id"])
 
 
 def found(pairs: DataFrame) -> DataFrame:
-    """``doc_id, item_id``, distinct."""
-    return pairs.select("doc_id", "item_id").distinct()
+    """``doc_id, item_id`` of the quotes, distinct."""
+    return pairs.where("kind = 'quote'").select("doc_id", "item_id").distinct()

@@ -90,10 +90,30 @@ def test_leaks_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (2, OTHER, None), (3, None, None), (None, ITEM, None), (4, "", None), (5, "filler words " * 50_000 + ITEM, None)], "doc_id long, text string, item_id string")
     its = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (None, ITEM)], "item_id long, prompt string")
     assert sorted(map(tuple, leakage.found(leakage.contaminated(docs, its)).collect())) == [(1, 1), (5, 1)]
-    assert sorted(map(tuple, leakage.found(leakage.contaminated(docs, its, sent_windows=0)).collect())) == [(1, 1), (5, 1)]
+    assert sorted(map(tuple, leakage.found(leakage.contaminated(docs, its, sent_chars=0)).collect())) == [(1, 1), (5, 1)]
+    kinds = {(r.doc_id, r.item_id): r.kind for r in leakage.contaminated(docs, its).collect()}
+    assert kinds == {(1, 1): "quote", (5, 1): "quote", (2, 1): "likeness"}
     assert leakage.contaminated(docs, its.where("false")).count() == 0 and leakage.contaminated(docs.where("false"), its).count() == 0
 
 
+def test_items_are_judged_by_themselves(spark):
+    """Neither other items nor the way they reach the documents change what is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(10_000 + k, t) for k, t in enumerate([ITEM, OTHER, ITEM.lower(), ITEM.replace("Naxnaxmon", "the clerk"), "12 34 56 78 90 " * 20, ZH])]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).persist()
+    its = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").select("item_id", "prompt")
+    its = its.unionByName(spark.createDataFrame([(-1, ITEM), (-2, ZH), (-3, "Suppose the clerk of Velobtir and Naxnaxmon counts 12 34 56 78 90 12 34 and 17 again.")], "item_id long, prompt string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    all_at_once = rows(leakage.contaminated(docs, its))
+    assert {"quote", "likeness"} == {r[2] for r in all_at_once} and len(all_at_once) >= 8
+    assert rows(leakage.contaminated(docs, its, sent_chars=0)) == all_at_once
+    for chars in (0, 10**9):
+        assert rows(leakage.contaminated(docs, its, False, chars).drop("differing")) == [r[:-1] for r in all_at_once if r[2] == "quote"]
+    for part in ("item_id < 0", "item_id = -1", "item_id % 7 = 3"):
+        keep = {r.item_id for r in its.where(part).collect()}
+        assert rows(leakage.contaminated(docs, its.where(part))) == [r for r in all_at_once if r[1] in keep]
+
+
 # mixing
 
 

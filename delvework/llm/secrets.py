@@ -66,21 +66,22 @@ _QUOTED = re.compile(r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>[^\s\"'`\\]{6,})(?P=q)")
 _NAME_BEFORE = re.compile(r"\s*(?:\(\w+(?: wen)?|[A-Za-z]{1,2})?\s*(?P<by>=:|>=|==|=|:|,)\s*(?:[\w<>\[\]. ]+?'?&?\s*:)?\s*[\"'\])]*(?P<k>[\w$.-]*[A-Za-z_$])")
 _CONT = re.compile(r"\s*(?:\+|\.\.|\.|\\|<<|&|\|\|)?[ \t]*\\?\r?\n\s*(?:\+|\.\.|\.|//|\#)?\s*([\"'`])([^\s\"'`\\]+)\1")
 _CLI = re.compile(r"(?:--?(?:password|passwd|token|secret|api-?key|access-?key|key|auth|pass|pwd?|credentials?)[= ]|(?:\s-u\s+|--user[= ])[\w.-]+:)([\"']?)([^\s\"'$<{]\S{5,})\1", re.I)
-#: A value to fall back on, and the name of a variable before it.
+#: A value to fall back on, and the name of a variable before it, read backwards.
 _FALLBACK = re.compile(r"(?:,|\|\||\?\?|\?:|\bor\b)[ \t]*([\"'`])([^\"'`\s]{4,})\1")
-_VARIABLE = re.compile(r"(?:^|[\"'.\[( ])([A-Za-z]\w{2,40})[\"'\])]*[ \t]*$")
+_VARIABLE = re.compile(r"[ \t]*[\"'\])]*(\w{2,}[A-Za-z])(?=[\"'.\[( \r\n]|\Z)")
 _EXPANSION = re.compile(r"\$\{(\w+):?[-=]([^}\s\"'$]{4,})\}")
 #: Arguments with two strings at least, and the names of calls that take a place, a user and a password.
 _ARGUMENTS = re.compile(r"\(([^()\n]*[\"'`][^()\n]*,[^()\n]*[\"'`][^()\n]*)\)")
-_CALL = re.compile(r"\b(?:log_?[io]n|sign_?in|connect|dial|auth|open|bind|create|new|session|client|mount|attach)\w*\s*$", re.I)
+_CALL = re.compile(r"(?:log_?[io]n|sign_?in|connect|dial|auth|open|bind|create|new|session|client|mount|attach)", re.I)
 _ARGUMENT = re.compile(r"([\"'`])([^\"'`\n]*)\1")
 #: A field of a query or a header inside a string.
-_FIELD = re.compile(r"(?:[?&]|\b(?=X-))([A-Za-z][\w-]{2,40})(?:=|:\s)([^&\s\"'`<>]{8,})")
+_FIELD = re.compile(r"(?:[?&]|\b(?=X-))([A-Za-z][\w-]{2,})(?:=|:\s)([^&\s\"'`<>]{8,})")
 _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?::\d+)?$")
 #: How people call passwords and accounts (fixed values).
 _SAID = re.compile(
     r"password|passwd|passwor[dt]|kennwort|passphrase|\bpwd?\b|\bpass\b|\bmdp\b|mot de passe|contrase[nñ]a|\bclave\b|senha|palavra-passe|парол|密码|密碼|口令|パスワード|暗証|\bcreds?\b|credential|\blog ?in\b|zugang|acceso|acesso|accès|доступ|"
-    r"\bsecret\b|\btoken\b|api[ _-]?key|账号|帳號|ログイン|identifiants?|anmeldung"
+    r"\bsecret\b|\btoken\b|api[ _-]?key|账号|帳號|ログイン|identifiants?|anmeldung",
+    re.I,
 )
 #: Parts of those words by which texts without any are passed over.
 _SAID_PARTS = ("passw", "kennwort", "passphrase", "pw", " pass", "mdp", "mot de passe", "contrase", "clave", "senha", "palavra-passe", "парол", "密码", "密碼", "口令", "パスワード", "暗証", "cred", "login", "log in", "zugang", "acces", "acess", "доступ", "secret", "token", "api", "账号", "帳號", "ログイン", "identifiant", "anmeldung")
@@ -102,7 +103,6 @@ _COMMENT_PAIR = re.compile(r"(?:^|[\s(\"'`])(?P<k>[A-Za-z_][\w.-]*)[ \t]*(?:=|:|
 _PAIR = re.compile(
     r"(?<![\w.$])(?<!\$\{)(?P<e>\\*[\"'])?(?P<k>[A-Za-z_][\w.-]*)(?(e)(?P=e))(?:[ \t]*[=:][ \t]*(?:(?P<q>\\*[\"'])(?P<v>(?:(?!(?P=q))(?:\\.|[^\\\r\n]))*)(?P=q)|(?P<b>[^\s\"'\\{}\[\],;&<>]+)(?=[ \t]*(?:[,;&}\]<\"'\\\r\n]|$)|[ \t]+[#;]))|=(?P<t>[^\s\"'\\{}\[\],;&<>]+))"
 )
-_PAIR_OPEN = re.compile(r"(?:^|[{,\[\n])[ \t]*(?:export[ \t]+|-[ \t]+)?$")
 #: Elements that have the name in an attribute, and the value in another or as their text.
 _NAMED_ELEMENT = re.compile(r"<[\w.:-]+[^<>]*?\s(?:name|key|id)\s*=\s*[\"'](?P<k>[\w.-]+)[\"'](?:[^<>]*?\svalue\s*=\s*(?P<q>[\"'])(?P<v>[^\"'<>]+)(?P=q)|[^<>]*>(?P<t>[^<>]+)</)")
 
@@ -205,10 +205,10 @@ def is_secret(name: str, v: str, words: Dictionary) -> bool:
         return words.residual(v) >= 4
     if name and hash_name(name) or _HASHES.match(v) or _UUID.match(v) or _HEX.match(v):
         return False
-    return 20 <= len(v) <= 90 and _mixed(v) and words.residual(v) >= max(16, 0.6 * len(v)) and not re.search(r"[|,;(){}<>%&]", v)
+    return len(v) >= 20 and _mixed(v) and words.residual(v) >= max(16, 0.6 * len(v)) and not re.search(r"[|,;(){}<>%&]", v)
 
 
-_LONG = re.compile(r"[\"'`][^\s\"'`]{20,90}[\"'`]")
+_LONG = re.compile(r"[\"'`][^\s\"'`]{20,}[\"'`]")
 
 
 def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int, str]]:
@@ -217,7 +217,7 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
     hint, said = any(p in low for p in _PARTS), any(p in low for p in _SAID_PARTS)
     if not (hint or said or _LONG.search(text) or _ARGUMENTS.search(text)):
         return []
-    fam = family(path)
+    fam, back = family(path), text[::-1]
     hits: list[tuple[int, int, str]] = []
     for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         e = _PEM_END.search(text, m.end())
@@ -247,7 +247,7 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
                     a = m.start("v") + len(m["v"]) - len(m["v"].lstrip())
                     hits.append((a, a + len(v), "assignment"))
     else:
-        last, back = -1, text[::-1]
+        last = -1
         for m in _QUOTED.finditer(text):
             if m.start() < last:
                 continue
@@ -280,9 +280,9 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
     for m in _CLI.finditer(text) if " -u " in text or "--" in text or " -p" in text else ():
         if not _PLACEHOLDER.match(m[2]) and words.residual(m[2].rstrip("\"'")) >= 4:
             hits.append((m.start(2), m.end(2), "argument"))
-    hits += _in_calls(text, words)
-    if said and len(low) == len(text):
-        hits += _in_comments(text, low, words)
+    hits += _in_calls(text, back, words)
+    if said:
+        hits += _in_comments(text, words)
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int, str]] = []
     for h in hits:
@@ -306,6 +306,22 @@ def _name_before(text: str, back: str, ls: int, at: int) -> re.Match | None:
     return None
 
 
+def _blank_before(text: str, at: int, blanks: str = " \t") -> int:
+    """Where the blanks before a place begin."""
+    while at > 0 and text[at - 1] in blanks:
+        at -= 1
+    return at
+
+
+def _opens_pair(text: str, at: int) -> bool:
+    """Whether a key at this place opens a line, a list or a map, behind a dash or ``export`` if there is one."""
+    i = _blank_before(text, at)
+    for word in ("-", "export"):
+        if i < at and text.endswith(word, 0, i):
+            i = _blank_before(text, i - len(word))
+    return i == 0 or text[i - 1] in "{,[\n"
+
+
 def _in_pairs(text: str, fam: str, words: Dictionary) -> list[tuple[int, int, str]]:
     """Secrets among all pairs of keys and values of settings, however many stand on a line."""
     hits, at = [], 0
@@ -316,7 +332,7 @@ def _in_pairs(text: str, fam: str, words: Dictionary) -> list[tuple[int, int, st
         if g != "v":
             if re.match(r"^[@&*\w]*[(\[{]|^\$[\w({]", v) or fam == "yaml" and v[0] == "*" or not secret_name(m["k"]) and "=" in v.rstrip("="):
                 continue
-            if not _PAIR_OPEN.search(text, max(0, m.start() - 40), m.start()) and not (secret_name(m["k"]) and _STRANGE.search(v)):
+            if not _opens_pair(text, m.start()) and not (secret_name(m["k"]) and _STRANGE.search(v)):
                 continue
         if is_secret(m["k"], v, words) and not _SCHEME.search(v) and not _URL.search(v) and not any(a < m.start(g) < b for a, b in users):
             a = m.start(g) + len(v) - len(v.lstrip())
@@ -330,12 +346,12 @@ def _in_pairs(text: str, fam: str, words: Dictionary) -> list[tuple[int, int, st
     return hits
 
 
-def _in_calls(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
+def _in_calls(text: str, back: str, words: Dictionary) -> list[tuple[int, int, str]]:
     """Passwords among the arguments of calls, as values to fall back on, and in fields of queries and headers."""
     hits = []
     for m in _FALLBACK.finditer(text):
-        n = _VARIABLE.search(text[max(0, m.start() - 60) : m.start()])
-        if n and secret_name(n[1]) and is_secret(n[1], m[2], words):
+        n = _VARIABLE.match(back, len(text) - m.start())
+        if n and secret_name(n[1][::-1]) and is_secret(n[1][::-1], m[2], words):
             hits.append((m.start(2), m.end(2), "default"))
     for m in _EXPANSION.finditer(text) if "${" in text else ():
         if secret_name(m[1]) and is_secret(m[1], m[2], words):
@@ -344,7 +360,8 @@ def _in_calls(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
         if secret_name(m[1]) and _STRANGE.search(m[2]) and is_secret(m[1], m[2], words):
             hits.append((m.start(2), m.end(2), "field"))
     for m in _ARGUMENTS.finditer(text):
-        if not _CALL.search(text, max(0, m.start() - 40), m.start()):
+        called = re.compile(r"\s*(\w+)").match(back, len(text) - m.start())
+        if not called or not _CALL.match(called[1][::-1]):
             continue
         args = list(_ARGUMENT.finditer(m[1]))
         if len(args) >= 2 and (v := args[-1][2]) and _STRANGE.search(v) and not _HOST.match(v) and is_secret("password", v, words):
@@ -353,13 +370,13 @@ def _in_calls(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
     return hits
 
 
-def _in_comments(text: str, low: str, words: Dictionary) -> list[tuple[int, int, str]]:
+def _in_comments(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
     """Passwords told in comments, behind a word for them in one of many languages."""
     hits, done = [], -1
-    for m in _SAID.finditer(low):
+    for m in _SAID.finditer(text):
         ls, le = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         le = le if le >= 0 else len(text)
-        if ls <= done or not _COMMENT.search(text, ls, m.start()):
+        if ls <= done or not _COMMENT.search(text, max(ls - 1, 0), m.start()):
             continue
         done = ls
         for t in re.finditer(r"\S+", text[m.end() : le]):
@@ -379,8 +396,14 @@ def _pem_tail(text: str, at: int) -> int:
 
 def _in_list(text: str, a: int, b: int) -> bool:
     """Whether a literal stands between others, as in a table of data."""
-    before, after = text[max(0, a - 80) : a].rstrip(), text[b : b + 80].lstrip()
-    return before.endswith((",", "[", "{")) and bool(re.search(r"[\"'`]\s*,$", before)) or bool(re.match(r",\s*[\"'`]", after)) and before.endswith((",", "[", "{"))
+    i = _blank_before(text, a, " \t\r\n")
+    if i == 0 or text[i - 1] not in ",[{":
+        return False
+    j = _blank_before(text, i - 1, " \t\r\n")
+    return text[i - 1] == "," and j > 0 and text[j - 1] in "\"'`" or bool(_NEXT_LITERAL.match(text, b))
+
+
+_NEXT_LITERAL = re.compile(r"\s*,\s*[\"'`]")
 
 
 def redact(text: str, hits: list[tuple[int, int, str]]) -> str:

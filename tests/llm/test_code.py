@@ -273,6 +273,24 @@ def test_secrets_anywhere_in_a_line(path, text, what):
     assert found(text, path) == what
 
 
+@pytest.mark.parametrize("n", [20, 90, 91, 199, 201, 300, 5000])
+def test_secrets_of_any_length(n):
+    rnd = random.Random(n)
+    v = "aB3" + "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 3))
+    assert found(f'api_secret = "{v}"') == [v] and found(f'send("{v}")', "a.js") == [v] and found(f'{{"token": "{v}"}}', "a.json") == [v] and found(f'X = get("API_TOKEN", "{v}")') == [v]
+    half = n // 2
+    assert found(f'api_secret = "{v[:half]}" +\n    "{v[half:]}"\n', "a.js")[0] == v[:half]
+
+
+def test_secrets_beside_long_blanks_names_and_odd_letters():
+    far = " " * 300
+    assert found("# \u0130stanbul\n# password Will0w#thi37") == ["Will0w#thi37"]
+    assert found(f"db:\n{far}password: p3pp3r!fal24 # x", "a.yaml") == ["p3pp3r!fal24"]
+    assert found(f'v = get("{"A" * 80}_SIGNING_KEY",{far}"Tulip!5545")') == ["Tulip!5545"]
+    assert found(f'dial{"x" * 60}("hub3.corp.example", "svc", "Will0w#thi37")', "a.js") == ["Will0w#thi37"]
+    assert found(f'val t = intArrayOf({far}"x",{far}"Pgaf1lFN7U18b1n1ZiK+rG7VtBXIMcFUviB",{far}"a4zbs2GS6cxIzWfSrXols8lTLoGqwr8ph5q")', "a.kt") == []
+
+
 def test_redaction_keeps_the_rest():
     text = json.dumps({"a": 1, "password": "Willow-Otter-55", "key": KEY, "b": ["x"]}, indent=1)
     hits = secrets.find(text, "a.json", WORDS)

@@ -1,13 +1,15 @@
 """Natural language inside code: which languages the comments and string literals of each file hold.
 
-Files are cut into blocks of lines. Each block is lexed on its own for every state it could begin in; that gives a
-state-transition function per block, and a prefix composition over the blocks of a file tells in which state each
-block really begins. Spans are labelled by a multinomial logistic regression over hashed n-grams whose scores add up
-over fragments, so a passage that crosses a block border is judged from both of its parts.
+Files are cut into blocks of lines. Each block is lexed on its own for every state it could begin in, which gives a
+state-transition function per block, and with it, per state, what its comments and strings hold. Both compose
+associatively: blocks are folded by prefix within folds of a file and then over the folds, so a file of any size is
+lexed in pieces and judged as a whole. Spans are labelled by a multinomial logistic regression over hashed n-grams whose
+scores add up over fragments, so a passage over any number of blocks is judged from all of its parts.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from delvework.llm import languages as L
 from delvework.llm.files import line_blocks, overlay
-from delvework.llm.lexer import CODE, N_STATES, body, family, lex, transition
+from delvework.llm.lexer import CODE, HERE, body, family, lex, transition
+from delvework.llm.passages import LINES, OPEN, Part, Run, Sum, close, combined, end_only, finished, joined, start_only
 
 BLOCK_LINES = 256
-#: Blocks composed in one fold; 2^31 lines / 256 / 4096 leaves at most 2,048 folds per file.
+#: Blocks of a file that are composed in one task; what is left of them is one row per fold.
 FOLD = 4096
 MIN_WORDS, MIN_CJK = 5, 8
 
@@ -57,10 +60,10 @@ def _wide(words: list[str]) -> int:
     return sum(len(w) for w in words if _WIDE.match(w))
 
 
-def runs_of(text: str, model: L.Model) -> list[tuple[int, int, int, np.ndarray]]:
-    """Passages of a comment or string: (words, CJK characters, characters, score), one per run of lines in one language."""
-    out: list[list] = []
-    last = None
+def part_of(text: str, model: L.Model, closed: dict | None = None) -> Part:
+    """The runs of lines in one language of a comment or string; ``closed`` takes those between the first and the last."""
+    runs: list[Run] = []
+    joins, open_, broken = True, False, False
     for line in text.split("\n"):
         line = line.strip()
         if not line:
@@ -72,19 +75,25 @@ def runs_of(text: str, model: L.Model) -> list[tuple[int, int, int, np.ndarray]]
             judged = _LINES[line] = _judge(line, model)
         tag, n, wide, size, score, label = judged
         if not n:
-            last = None
+            joins, open_, broken = joins and bool(runs), False, True
             continue
-        if not tag and last is not None and (label is None or out[-1][4] in (None, label)):
-            prev = out[-1]
-            prev[0] += n
-            prev[1] += wide
-            prev[2] += size
-            prev[3] = prev[3] + score
-            prev[4] = prev[4] or label
+        new = Run((n, wide, size, score), label)
+        if tag and not runs:
+            joins = False
+        if not tag and open_:
+            runs[-1:] = joined(runs[-1], new)
         else:
-            out.append([n, wide, size, score, label])
-        last = None if tag else True
-    return [tuple(x[:4]) for x in out]
+            runs.append(new)
+        open_ = not tag
+        if closed is not None and len(runs) > 2:
+            close(closed, runs[1:-1], lambda r: verdict(*r.sums[:2], r.sums[3], model))
+            runs[1:-1] = []
+    return Part(joins, tuple(runs), open_, broken and not runs)
+
+
+def runs_of(text: str, model: L.Model) -> list[tuple[int, int, int, np.ndarray]]:
+    """Passages of a comment or string: (words, CJK characters, characters, score), one per run of lines in one language."""
+    return [r.sums for r in part_of(text, model).runs]
 
 
 #: Judgements of lines seen lately by this worker: licence headers and the like come again and again.
@@ -121,157 +130,155 @@ def _units(spans: list[tuple], text: str) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _fragments(spans: list[tuple], text: str, model: L.Model, memo: dict):
-    """(closed passages, head fragment, tail fragment) of a run of spans; fragments touch a block border."""
+_OPENS = re.compile(r"^(?:r#\"|\"\"\"|'''|\[\[|[\"'`])")
+_CLOSES = re.compile(r"(?:\"#|\"\"\"|'''|\]\]|[\"'`])$")
+
+
+def _inner(kind: str, raw: str, before: bool, still: bool, here: bool) -> str:
+    """The text of a comment or string, or of a piece of one, without its marks."""
+    if kind == "l":
+        return "\n".join(body("l", x) for x in raw.split("\n"))
+    if kind == "b":
+        return body("b", raw)
+    if here if before else raw.startswith("<<"):  # the first and the last line of a heredoc are marks
+        raw = raw if before else raw.partition("\n")[2]
+        return _unescape(raw if still else raw.rpartition("\n")[0])
+    raw = raw if before else _OPENS.sub("", raw)
+    return _unescape(raw if still else _CLOSES.sub("", raw))
+
+
+def summed(spans: list[tuple], text: str, model: L.Model, memo: dict, here: bool = False) -> Sum:
+    """What the comments and strings of a piece hold, with the parts that touch its borders left open."""
     closed: dict[str, int] = {}
-    head = tail = None
+
+    def judge(r: Run) -> str | None:
+        return verdict(r.sums[0], r.sums[1], r.sums[3], model)
+
+    head = tail = head_kind = tail_kind = None
+    through = False
     units = _units(spans, text)
     for k, (kind, a, b, before, still) in enumerate(units):
-        key = (kind, a, b)
-        runs = memo.get(key)
-        if runs is None:
-            raw = text[a:b]
-            inner = "\n".join(body("l", x) for x in raw.split("\n")) if kind == "l" else body(kind, raw) if kind == "b" else _unescape(body(kind, raw))
-            runs = memo[key] = runs_of(inner, model)
-        line_first = kind == "l" and k == 0 and not text[:a].strip() and "\n" not in text[:a]
-        line_last = kind == "l" and k == len(units) - 1 and text[b:].strip("\r\n \t") == "" and text.count("\n", b) <= 1
-        for i, (n, wide, size, score) in enumerate(runs):
-            lang = verdict(n, wide, score, model)
-            if lang:
-                closed[lang] = closed.get(lang, 0) + size
-                continue
-            if i == 0 and (before or line_first):
-                head = (n, wide, size, score.tolist())
-            if i == len(runs) - 1 and (still or line_last):
-                tail = (n, wide, size, score.tolist())
-    return closed, head, tail
-
-
-_FRAG = "struct<n:int,wide:int,size:int,score:array<double>>"
-_OUT = f"file_path string, block int, chars long, fn array<int>, runs array<struct<states:array<int>,langs:array<struct<lang:string,size:int>>,head:{_FRAG},tail:{_FRAG}>>"
-
-
-_PA_FRAG = pa.struct([("n", pa.int32()), ("wide", pa.int32()), ("size", pa.int32()), ("score", pa.list_(pa.float64()))])
-_PA_LANG = pa.list_(pa.struct([("lang", pa.string()), ("size", pa.int32())]))
-_SCHEMA = pa.schema(
-    [
-        ("file_path", pa.string()),
-        ("block", pa.int32()),
-        ("chars", pa.int64()),
-        ("fn", pa.list_(pa.int32())),
-        ("runs", pa.list_(pa.struct([("states", pa.list_(pa.int32())), ("langs", _PA_LANG), ("head", _PA_FRAG), ("tail", _PA_FRAG)]))),
-    ]
-)
-
-
-def _frag(x):
-    return None if x is None else {"n": x[0], "wide": x[1], "size": x[2], "score": x[3]}
-
-
-def _lexed(model_ref):
+        at_start = OPEN if before else LINES if kind == "l" and k == 0 and "\n" not in text[:a] and not text[:a].strip() else None
+        at_end = OPEN if still else LINES if kind == "l" and k == len(units) - 1 and text.count("\n", b) <= 1 and not text[b:].strip() else None
+        key = (kind, a, b, before, here and before)
+        got = memo.get(key)
+        if got is None:
+            own: dict[str, int] = {}
+            got = memo[key] = part_of(_inner(kind, text[a:b], before, still, here), model, own), own
+        part = got[0]
+        for lang, size in got[1].items():
+            closed[lang] = closed.get(lang, 0) + size
+        if at_start and at_end:
+            head, head_kind, tail_kind, through = part, at_start, at_end, True
+        elif at_start:
+            head, head_kind = start_only(part, closed, judge), at_start
+        elif at_end:
+            tail, tail_kind = end_only(part, closed, judge), at_end
+        else:
+            close(closed, part.runs, judge)
+    return Sum(closed, head, tail, head_kind, tail_kind, through)
+
+
+_OUT = "file_path string, fold int, first int, last int, chars long, sums binary"
+_SCHEMA = pa.schema([("file_path", pa.string()), ("fold", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("chars", pa.int64()), ("sums", pa.binary())])
+
+
+def _lexed(model_ref, block_lines: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_ref.value
         _LINES.clear()
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([_block(model, **row) for row in batch.to_pylist()], schema=_SCHEMA)
+            rows = []
+            for r in batch.to_pylist():
+                fam = family(r["file_path"])
+                if fam is not None:
+                    text = overlay(r["offs"], r["texts"])
+                    chars = len(text) - text.count("\n")
+                    text += "\n" * max(1, block_lines - text.count("\n"))
+                    sums = pickle.dumps(by_state(text, fam, r["block"] == 0, model))
+                    rows.append({"file_path": r["file_path"], "fold": r["block"] // fold, "first": r["block"], "last": r["block"], "chars": chars, "sums": sums})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
 
 
-def _block(model: L.Model, file_path: str, block: int, offs: list[int], texts: list[str]) -> dict:
-    fam, text = family(file_path), overlay(offs, texts) + "\n"
-    if fam is None:
-        return {"file_path": file_path, "block": block, "chars": len(text), "fn": list(range(N_STATES)), "runs": []}
-    if block == 0:  # a file begins in code
-        base, end, _ = lex(text, fam)
-        fn, by = [end] * N_STATES, {CODE: base}
+def by_state(text: str, fam: str, opens_file: bool, model: L.Model) -> dict[int, tuple[int, Sum]]:
+    """(end state, what it holds) of a piece by each state in which it can begin; a file begins in code."""
+    if opens_file:
+        spans, end, _ = lex(text, fam)
+        fn, by = {CODE: end}, {CODE: spans}
     else:
         fn, by = transition(text, fam)
     memo: dict = {}
-    grouped: dict[tuple, list[int]] = {}
-    for s, spans in by.items():
-        grouped.setdefault(tuple(spans), []).append(s)
-    runs = []
-    for spans, states in grouped.items():
-        closed, head, tail = _fragments(list(spans), text, model, memo)
-        runs.append({"states": states, "langs": [{"lang": k, "size": v} for k, v in closed.items()], "head": _frag(head), "tail": _frag(tail)})
-    return {"file_path": file_path, "block": block, "chars": len(text), "fn": fn, "runs": runs}
+    return {s: (fn[s], summed(spans, text, model, memo, s == HERE)) for s, spans in by.items()}
+
 
+def composed(a: dict[int, tuple[int, Sum]], b: dict[int, tuple[int, Sum]], neighbours: bool, model: L.Model) -> dict[int, tuple[int, Sum]]:
+    """The same of two pieces, one behind the other: the second begins in the state in which the first ends."""
+    out = {}
+    for s, (end, first) in a.items():
+        end, second = b.get(end) or b[CODE]
+        out[s] = end, combined(first, second, neighbours, lambda r: verdict(r.sums[0], r.sums[1], r.sums[3], model))
+    return out
 
-def entry_states(fns: DataFrame) -> DataFrame:
-    """``file_path, block, state``: the state in which each block after the first begins.
 
-    ``fns`` has ``file_path, block, fn``. Prefix composition in two levels: within folds of at most ``FOLD`` blocks,
-    then over the folds of a file; blocks that are missing act as identity.
-    """
-    ident = F.array(*[F.lit(i) for i in range(N_STATES)])
-
-    def scan(items, key: str):
-        return F.aggregate(
-            items,
-            F.struct(ident.alias("acc"), F.array().cast(f"array<struct<{key}:int,pre:array<int>>>").alias("out")),
-            lambda s, x: F.struct(
-                F.transform(s["acc"], lambda v: F.get(x["fn"], v)).alias("acc"),
-                F.concat(s["out"], F.array(F.struct(x[key].alias(key), s["acc"].alias("pre")))).alias("out"),
-            ),
-        )
-
-    folds = (
-        fns.withColumn("fold", F.floor(F.col("block") / FOLD).cast("int"))
-        .groupBy("file_path", "fold")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "fn"))).alias("items"))
-        .withColumn("scan", scan(F.col("items"), "block"))
-        .select("file_path", "fold", F.col("scan.acc").alias("fn"), F.col("scan.out").alias("blocks"))
-    )
-    tops = (
-        folds.groupBy("file_path")
-        .agg(F.array_sort(F.collect_list(F.struct("fold", "fn", "blocks"))).alias("items"))
-        .where((F.size("items") > 1) | (F.size(F.col("items")[0]["blocks"]) > 1))
-        .withColumn("scan", scan(F.col("items"), "fold"))
-        .select("file_path", F.explode(F.arrays_zip(F.col("scan.out").alias("pre"), F.col("items").alias("item"))).alias("z"))
-    )
-    each = tops.select("file_path", F.col("z.pre.pre").alias("pre"), F.explode("z.item.blocks").alias("b"))
-    return each.select("file_path", F.col("b.block").alias("block"), F.get(F.col("b.pre"), F.get(F.col("pre"), F.lit(CODE))).alias("state"))
+def _folded(bias: np.ndarray, last: bool):
+    """Composes rows that follow each other: those of a fold, or, as the ``last`` step, those of a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = L.Model(np.zeros((0, len(bias)), np.float32), bias)
+        key, at, chars, sums = None, (0, 0), 0, {}
+
+        def done() -> list[dict]:
+            if key is None:
+                return []
+            if not last:
+                return [{"file_path": key[0], "fold": key[1], "first": at[0], "last": at[1], "chars": chars, "sums": pickle.dumps(sums)}]
+            sizes = finished(sums[CODE][1], lambda r: verdict(r.sums[0], r.sums[1], r.sums[3], model))
+            return [{"file_path": key[0], "lang": lang, "chars": n, "total": chars} for lang, n in sizes.items()]
+
+        for batch in batches:
+            rows = []
+            for path, fold, lo, hi, n, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                here = (path, None if last else fold)
+                if here != key:
+                    rows += done()
+                    key, at, chars, sums = here, (lo, hi), n, pickle.loads(raw)
+                else:
+                    sums = composed(sums, pickle.loads(raw), lo == at[1] + 1, model)
+                    at, chars = (at[0], hi), chars + n
+            yield pa.RecordBatch.from_pylist(rows, schema=_TOTALS if last else _SCHEMA)
+        yield pa.RecordBatch.from_pylist(done(), schema=_TOTALS if last else _SCHEMA)
+
+    return run
+
+
+_TOTALS = pa.schema([("file_path", pa.string()), ("lang", pa.string()), ("chars", pa.int64()), ("total", pa.int64())])
 
 
 def training_texts(notes: DataFrame | None, limit: int = 2000) -> list[str]:
     """A bounded, repeatable sample of note bodies (the ``limit`` least by hash) from which the labeller is refitted."""
     if notes is None:
         return []
-    rows = notes.select(F.substring("body", 1, 600).alias("body")).where("body IS NOT NULL").distinct().orderBy(F.xxhash64("body"), "body").limit(limit).collect()
+    rows = notes.select("body").where("body IS NOT NULL").distinct().orderBy(F.xxhash64("body"), "body").limit(limit).collect()
     return [r.body for r in rows]
 
 
-def languages_in_code(chunks: DataFrame, notes: DataFrame | None = None, block_lines: int = BLOCK_LINES, sample: int = 2000) -> DataFrame:
+def languages_in_code(chunks: DataFrame, notes: DataFrame | None = None, block_lines: int = BLOCK_LINES, fold: int = FOLD, sample: int = 2000) -> DataFrame:
     """``file_path, lang, chars, share``: the languages in the comments and strings of each file.
 
     ``chars`` counts the characters of passages of at least five words (Chinese and Japanese: eight characters) in
-    ``lang``; ``share`` is their part of the file's characters. The labeller is fitted on a built-in seed and on at
-    most ``sample`` note bodies. Chunks without path or content give no rows; repeated and overlapping chunks count
-    once; files of unknown kinds and files without language have no rows; other columns of the input are ignored.
+    ``lang``; ``share`` is their part of the file's characters, line ends aside. Blocks of ``block_lines`` lines and
+    folds of ``fold`` blocks are units of work only and don't show in the result. The labeller is fitted on a built-in
+    seed and on at most ``sample`` note bodies. Chunks without path or content give no rows; repeated and overlapping
+    chunks count once; files of unknown kinds and files without language have no rows; other columns are ignored.
     """
-    spark = chunks.sparkSession
     model = L.train(training_texts(notes, sample))
-    ref = spark.sparkContext.broadcast(model)
-    lexed = line_blocks(chunks, block_lines).select("file_path", "block", "offs", "texts").mapInArrow(_lexed(ref), _OUT)
-    lexed = lexed.persist()
-    states = entry_states(lexed.select("file_path", "block", "fn"))
-    known = lexed.join(states, ["file_path", "block"], "left").withColumn("state", F.coalesce("state", F.lit(CODE)))
-    run = known.select("file_path", "block", "chars", F.get(F.filter("runs", lambda r: F.array_contains(r["states"], F.col("state"))), F.lit(0)).alias("run"))
-    closed = run.select("file_path", F.explode("run.langs").alias("x")).select("file_path", F.col("x.lang").alias("lang"), F.col("x.size").cast("long").alias("size"))
-    tails = run.where("run.tail IS NOT NULL").select("file_path", (F.col("block") + 1).alias("block"), F.col("run.tail").alias("t"))
-    heads = run.where("run.head IS NOT NULL").select("file_path", "block", F.col("run.head").alias("h"))
-    joined = tails.join(heads, ["file_path", "block"])
-    both = F.zip_with("t.score", "h.score", lambda a, b: a + b)
-    logits = F.zip_with(both, F.array(*[F.lit(float(b)) for b in model.bias]), lambda a, b: a + b)
-    lang = F.element_at(F.array(*[F.lit(x) for x in L.LABELS]), F.array_position(logits, F.array_max(logits)).cast("int"))
-    crossing = joined.select("file_path", lang.alias("lang"), (F.col("t.n") + F.col("h.n")).alias("n"), (F.col("t.wide") + F.col("h.wide")).alias("wide"), (F.col("t.size") + F.col("h.size")).cast("long").alias("size"))
-    cjk = F.col("lang").isin(*L.CJK)
-    crossing = crossing.where((F.col("lang") != "none") & F.when(cjk, F.col("wide") >= MIN_CJK).otherwise(F.col("n") >= MIN_WORDS)).select("file_path", "lang", "size")
-    total = F.sum("chars").alias("total")
-    sums = closed.unionByName(crossing).groupBy("file_path", "lang").agg(F.sum("size").alias("chars"))
-    whole = run.groupBy("file_path").agg(total)
-    return sums.join(whole, "file_path").select("file_path", "lang", "chars", F.round(F.col("chars") / F.greatest(F.col("total"), F.lit(1)), 6).alias("share"))
+    ref = chunks.sparkSession.sparkContext.broadcast(model)
+    blocks = line_blocks(chunks, block_lines).select("file_path", "block", "offs", "texts").mapInArrow(_lexed(ref, block_lines, fold), _OUT)
+    folds = blocks.repartition("file_path", "fold").sortWithinPartitions("file_path", "fold", "first").mapInArrow(_folded(model.bias, False), _OUT)
+    files = folds.repartition("file_path").sortWithinPartitions("file_path", "first").mapInArrow(_folded(model.bias, True), "file_path string, lang string, chars long, total long")
+    return files.select("file_path", "lang", "chars", F.round(F.col("chars") / F.greatest(F.col("total"), F.lit(1)), 6).alias("share"))
 
 
 def files_by_language(chunks: DataFrame, notes: DataFrame | None = None, **options) -> DataFrame:

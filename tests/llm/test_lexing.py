@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from delvework.llm import languages as L
-from delvework.llm import lexer, nl_in_code
+from delvework.llm import lexer, nl_in_code, passages
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -20,10 +22,10 @@ def test_spans_are_ordered_and_transition_agrees_with_lexing(fam, parts, rnd):
 
 
 def whole(text, path, model):
-    """Languages of a text lexed at once."""
+    """Sizes of the languages of a text lexed at once."""
     fam = lexer.family(path)
     spans, _, _ = lexer.lex(text, fam)
-    return set(nl_in_code._fragments(spans, text, model, {})[0])
+    return passages.finished(nl_in_code.summed(spans, text, model, {}), lambda r: nl_in_code.verdict(*r.sums[:2], r.sums[3], model))
 
 
 SAMPLE = {
@@ -51,13 +53,61 @@ def test_blocks_of_any_size_agree(spark):
     model = L.train()
     rows = chunk_rows(1)
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "file_path string, start_line int, content string, block string, fn int")
-    want = {(p, lang) for p, ls in SAMPLE.items() for lang in whole("\n".join(ls * 3), p, model)}
+    want = {(p, lang) for p, ls in SAMPLE.items() for lang in whole("\n".join(ls * 3) + "\n", p, model)}
     assert want >= {("a.py", "de"), ("a.py", "es"), ("b.rs", "en"), ("b.rs", "ru"), ("c.sh", "fr"), ("c.sh", "zh"), ("d.lua", "pt"), ("d.lua", "ja")}
     for lines in (1000, 7, 3, 2):
         got = {(r.file_path, r.lang) for r in nl_in_code.files_by_language(df, block_lines=lines).collect()}
         assert got == want, lines
 
 
+LONG_TEXT = {
+    "long.py": ["x = 1", '"""The cat sleeps on the bed.', *["   of the aunt", "   today"] * 40, "Le chat dort sur le lit de ma tante.", *["et encore"] * 30, '"""', "# eine", "# Katze", "# schläft auf", "# dem Bett", "y = 'z'", "# ok", "# so", ""] * 2,
+    "gap.rs": ["// der Hund", "// läuft durch", "// den Garten", "", "// the dog runs through", "fn f() {}", "/*", *["", " * the old", " * boat"] * 30, "", "*/"],
+    "tags.java": ["/**", " * Reads the rows of the table", " * @param x the", " * number of rows", " * @return", *[" * and some more words"] * 20, " */", "int a; // no"] * 3,
+    "here.sh": ["cat <<MSG", *["the old boat leaves the harbour", "le vieux bateau part avec nous", ""] * 25, "MSG", "echo 'done'"],
+}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_over_any_number_of_blocks(spark, seed):
+    rnd, model, rows = random.Random(seed), L.train(), []
+    for path, ls in LONG_TEXT.items():
+        at = 0
+        while at < len(ls):
+            n = rnd.randrange(1, 12)
+            rows.append((path, at + 1, "\n".join(ls[at : at + n])))
+            at += n
+    df = spark.createDataFrame(rows, "file_path string, start_line int, content string")
+    want = {(p, lang, n) for p, ls in LONG_TEXT.items() for lang, n in whole("\n".join(ls) + "\n", p, model).items()}
+    assert {(p, lang) for p, lang, _ in want} >= {("long.py", "en"), ("long.py", "fr"), ("long.py", "de"), ("gap.rs", "de"), ("tags.java", "en"), ("here.sh", "en"), ("here.sh", "fr")}
+    for lines, fold in ((1, 3), (2, 4096), (5, 2), (16, 1), (256, 4096)):
+        got = nl_in_code.languages_in_code(df, block_lines=lines, fold=fold).collect()
+        assert {(r.file_path, r.lang, r.chars) for r in got} == want, (lines, fold)
+
+
+def test_shares_of_the_table_are_those_of_whole_files(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet")
+    rows = lambda **o: sorted(map(tuple, nl_in_code.languages_in_code(chunks, **o).collect()))
+    want = rows(block_lines=10**6)
+    assert len(want) > 50 and all(rows(block_lines=n, fold=k) == want for n, k in ((2, 3), (16, 4), (256, 4096)))
+
+
+def test_sums_compose_in_any_grouping():
+    rnd, model = random.Random(5), L.train()
+    text = "\n".join(x for ls in LONG_TEXT.values() for x in ls) + "\n"
+    pieces = [p + "\n" for p in text.split("\n")[:-1]]
+    one = [nl_in_code.by_state(p, "python", False, model) for p in pieces]
+
+    def grouped(xs):
+        if len(xs) == 1:
+            return xs[0]
+        k = rnd.randrange(1, len(xs))
+        return nl_in_code.composed(grouped(xs[:k]), grouped(xs[k:]), True, model)
+
+    sizes = [passages.finished(grouped(one)[0][1], lambda r: nl_in_code.verdict(*r.sums[:2], r.sums[3], model)) for _ in range(5)]
+    assert all(x == sizes[0] for x in sizes) and sizes[0] == whole(text, "a.py", model)
+
+
 def test_shares_and_dirt(spark):
     df = spark.createDataFrame(
         [(None, 1, "# The cat sleeps on the bed"), ("x.py", None, "# The cat sleeps on the bed today\n"), ("y.py", 1, None), ("z.unknown", 1, "# The cat sleeps on the bed"), ("e.py", 1, "")],

@@ -11,8 +11,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is a single file, dealt out to as many partitions as there are cores; any other table as it is.
+    """A table that is read by fewer tasks than there are cores, dealt out to all of them; any other table as it is.
 
-    A Parquet file with one row group is read by one task, which would then also do all the work behind it.
+    A small Parquet file with one row group is read by one task, which would then also do all the work behind it.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

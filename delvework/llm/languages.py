@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -33,6 +34,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 CJK_RUN = re.compile(r"[々-〇぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 
 
+@lru_cache(maxsize=50_000)
 def features(word: str) -> list[int]:
     """Hashed n-grams of a word: one to four characters with word ends, one and two for CJK."""
     if _CJK.match(word):

@@ -13,15 +13,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return nl_in_code.languages_in_code(table(spark, d, "chunks"), table(spark, d, "notes"))
+    return nl_in_code.languages_in_code(spread(table(spark, d, "chunks")), table(spark, d, "notes"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nl_in_code.files_by_language(table(spark, d, "chunks"), table(spark, d, "notes"))
+    return nl_in_code.files_by_language(spread(table(spark, d, "chunks")), table(spark, d, "notes"))
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "chunks"), *splitting.config_of(table(spark, d, "chunk_config"), "code"))
+    return splitting.split_oversized(spread(table(spark, d, "chunks")), *splitting.config_of(table(spark, d, "chunk_config"), "code"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,11 +41,11 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.found(provenance.not_handwritten(table(spark, d, "chunks")))
+    return provenance.found(provenance.not_handwritten(spread(table(spark, d, "chunks"))))
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.not_handwritten(table(spark, d, "chunks"))
+    return provenance.not_handwritten(spread(table(spark, d, "chunks")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

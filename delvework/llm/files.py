@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def line_blocks(chunks: DataFrame, block_lines: int) -> DataFrame:
-    """One row per file and block of ``block_lines`` lines: ``file_path, block, first_line, text``.
+def line_blocks(chunks: DataFrame, block_lines: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file and block of ``block_lines`` lines: ``file_path, block, first_line, offs, texts``.
 
     Every chunk is cut at multiples of ``block_lines``, the pieces are gathered by (file, block) and laid over each
     other, so repeated and overlapping chunks count once; lines that no chunk has are empty. A block never gets more
     distinct lines than ``block_lines``, however large the file is. Where chunks disagree about a line, the one
-    indexed last holds (then the larger text). Rows without path or content are left out; a null start line is 1.
+    indexed last holds (then the larger text). Rows without path or content are left out; a null start line is 1. Columns to ``carry`` keep their
+    largest value in a block.
     """
     b = F.lit(block_lines)
     c = chunks.select(
         "file_path",
         (F.coalesce("start_line", F.lit(1)) - 1).alias("_s"),
         F.regexp_replace("content", "\r\n", "\n").alias("_c"),
+        *carry,
     ).where("file_path IS NOT NULL AND _c IS NOT NULL AND _s >= 0")
     c = c.withColumn("_e", F.col("_s") + F.length("_c") - F.length(F.replace("_c", F.lit("\n"), F.lit(""))))
     first, last = F.floor(F.col("_s") / b), F.floor(F.col("_e") / b)
@@ -30,11 +32,12 @@ def line_blocks(chunks: DataFrame, block_lines: int) -> DataFrame:
     c = c.select(
         "file_path",
         F.col("block").cast("int").alias("block"),
+        *carry,
         F.struct(off.cast("int").alias("off"), F.when(first == last, F.col("_c")).otherwise(cut).alias("text")).alias("_p"),
     )
     pieces = F.array_sort(F.collect_set("_p"))
-    g = c.groupBy("file_path", "block").agg(pieces.alias("_p"))
-    return g.select("file_path", "block", (F.col("block") * b + 1).cast("int").alias("first_line"), F.col("_p.off").alias("offs"), F.col("_p.text").alias("texts"))
+    g = c.groupBy("file_path", "block").agg(pieces.alias("_p"), *(F.max(k).alias(k) for k in carry))
+    return g.select("file_path", "block", *carry, (F.col("block") * b + 1).cast("int").alias("first_line"), F.col("_p.off").alias("offs"), F.col("_p.text").alias("texts"))
 
 
 def overlay(offs, texts) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from delvework.llm.files import line_blocks, overlay
 from delvework.llm.lexer import body, family, lex
+from delvework.session import checkpointed
 
 BLOCK_LINES = 1024
 #: Tokens in a fingerprinted window and windows of which the least hash is kept.
@@ -27,6 +28,8 @@ GRAM, WINDOW = 16, 16
 FEW = 8
 #: Share of a file's fingerprints that must recur for it to be a copy, and unrelated modules that make them common.
 COPIED, MODULES = 0.8, 4
+#: A fingerprint in more than one of so many rows is joined without a shuffle: there are fewer than so many of them.
+HOT = 1000
 
 #: Lexical families of settings.
 SETTINGS = {"toml", "json", "yaml", "props", "env", "ini", "xml"}
@@ -84,8 +87,6 @@ def _head(text: str, spans: list[tuple]) -> list[str]:
         else:
             lines += body(kind, raw).split("\n")
         at = b
-        if len(lines) > 60:
-            break
     return lines
 
 
@@ -196,9 +197,9 @@ def _dense(s: str) -> bool:
     return lit + punct > 0.85 * len(s)
 
 
-_OUT = "file_path string, path_kind string, chars long, packed long, data long, tokens long, windows long, uniq long, gen boolean, third string, fps array<long>"
+_OUT = "file_path string, module string, path_kind string, chars long, packed long, data long, tokens long, windows long, uniq long, gen boolean, third string, fps array<long>"
 _SCHEMA = pa.schema(
-    [("file_path", pa.string()), ("path_kind", pa.string()), *((k, pa.int64()) for k in ("chars", "packed", "data", "tokens", "windows", "uniq")), ("gen", pa.bool_()), ("third", pa.string()), ("fps", pa.list_(pa.int64()))]
+    [("file_path", pa.string()), ("module", pa.string()), ("path_kind", pa.string()), *((k, pa.int64()) for k in ("chars", "packed", "data", "tokens", "windows", "uniq")), ("gen", pa.bool_()), ("third", pa.string()), ("fps", pa.list_(pa.int64()))]
 )
 
 
@@ -207,7 +208,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             path = r["file_path"]
-            rows.append({"file_path": path, "path_kind": path_kind(path), **block_features(overlay(r["offs"], r["texts"]), path, r["block"] == 0)})
+            rows.append({"file_path": path, "module": r["module"], "path_kind": path_kind(path), **block_features(overlay(r["offs"], r["texts"]), path, r["block"] == 0)})
         yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
@@ -223,27 +224,38 @@ def judged() -> F.Column:
     )
 
 
-def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MODULES, block_lines: int = BLOCK_LINES) -> DataFrame:
+def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MODULES, block_lines: int = BLOCK_LINES, hot: int = HOT) -> DataFrame:
     """``file_path, kind, recurring``: the files nobody wrote by hand, with what they are.
 
     ``kind`` is vendored, generated, minified, data or copy; ``recurring`` is the share of the file's fingerprints that
-    occur in vendored files or in at least ``modules`` unrelated modules (the directory below the root; files outside of
-    any count as one module): a file of which at least the share ``copied`` recurs is a copy. Fingerprints are reduced
-    to distinct ones per module before a fingerprint's modules are counted, both map-side, so that one that a third of
-    all files have stays small. Rows without path or content are left out; repeated and overlapping chunks count once.
+    occur in vendored files or in at least ``modules`` unrelated modules (the ``module`` of the chunks, or where that is
+    null or blank the directory below the root; files outside of any count as one module): a file of which at least the
+    share ``copied`` recurs is a copy. Fingerprints are reduced to distinct ones per module before a fingerprint's
+    modules are counted, both map-side, so that one that a third of all files have stays small; where a file's rows meet
+    the known ones, those of fingerprints that make up more than one row in ``hot`` aren't shuffled. Features are
+    written once to the checkpoint folder. Rows without path or content are left out; repeated and overlapping chunks count once.
     """
-    blocks = line_blocks(chunks, block_lines).select("file_path", "block", "offs", "texts")
-    feats = blocks.mapInArrow(_features, _OUT).persist()
+    blocks = line_blocks(chunks, block_lines, ("module",)).select("file_path", "block", "module", "offs", "texts")
+    # both branches read what is written here, so every file is tokenised once
+    feats = checkpointed(blocks.mapInArrow(_features, _OUT))
     files = feats.groupBy("file_path").agg(
         F.first("path_kind").alias("path_kind"), *(F.sum(c).alias(c) for c in ("chars", "packed", "data", "windows", "uniq")), F.max("gen").alias("gen"), F.max("third").alias("third")
     ).select("file_path", judged().alias("kind"))
     seeds = (F.col("path_kind") == "vendored") | F.col("third").isNotNull()
     parts = F.split("file_path", "/")
-    module = F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
+    below = F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
+    module = F.coalesce(F.nullif(F.trim("module"), F.lit("")), below)
     each = feats.select("file_path", F.coalesce(seeds, F.lit(False)).alias("seed"), module.alias("module"), F.explode("fps").alias("fp"))
-    once = each.groupBy("fp", "module").agg(F.max("seed").alias("seed"))
-    known = once.groupBy("fp").agg(F.max("seed").alias("seed"), F.count("*").alias("n")).where(F.col("seed") | (F.col("n") >= modules)).select("fp")
-    share = each.select("file_path", "fp").join(known.withColumn("hit", F.lit(1)), "fp", "left").groupBy("file_path").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recurring"))
+    once = each.groupBy("fp", "module").agg(F.max("seed").alias("seed"), F.count("*").alias("rows"))
+    counts = once.groupBy("fp").agg((F.max("seed") | (F.count("*") >= modules)).alias("hit"), F.sum("rows").alias("rows"))
+    total = feats.agg(F.sum(F.size("fps"))).first()[0] or 0
+    flagged = checkpointed(counts.select("fp", "hit", (F.col("rows") * hot > total).alias("hot")).where("hit OR hot"))
+    # fewer than ``hot`` fingerprints make up more than one row in ``hot`` each: those are sent, the others are joined by shuffle
+    often = F.broadcast(flagged.where("hot").select("fp", F.col("hit").cast("int").alias("hit")))
+    seldom = flagged.where("NOT hot").select("fp", F.lit(1).alias("hit"))
+    rows = each.select("file_path", "fp")
+    met = rows.join(often, "fp").unionByName(rows.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp", "left"))
+    share = met.groupBy("file_path").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recurring"))
     both = files.join(share, "file_path", "left")
     kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("recurring") >= copied, "copy")
     return both.select("file_path", kind.alias("kind"), F.coalesce("recurring", F.lit(0.0)).alias("recurring")).where("kind IS NOT NULL")

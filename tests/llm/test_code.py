@@ -374,3 +374,19 @@ def test_modules_of_a_copy_are_counted_exactly(spark):
     files += [(f"src/root{i}.py", root) for i in range(5)] + [("top.py", root), ("src/mod0/root.py", root), ("src/mod1/root.py", root)]
     df = frame(spark, [(f"{p}:1-120", p, 1, 120, t, None, None) for p, t in files])
     assert {(r.file_path, r.kind) for r in provenance.not_handwritten(df).collect()} == {(f"src/{m}/copy.py", "copy") for m in four}
+
+
+def test_modules_are_those_of_the_chunks(spark):
+    copy, other = body(21), body(22)
+    rows = [(f"lib/{k}.py", copy, m) for k, m in enumerate(["a", "b", "c", " d "])] + [(f"src/m{k}/other.py", other, "one") for k in range(6)]
+    df = frame(spark, [(f"{p}:1", p, 1, None, t, None, m) for p, t, m in rows])
+    assert {r.file_path for r in provenance.not_handwritten(df).collect()} == {f"lib/{k}.py" for k in range(4)}
+
+
+def test_hot_fingerprints_are_joined_as_the_others(spark):
+    """What is sent and what is shuffled doesn't show in the result; a copy in most files is among what is sent."""
+    texts = [(f"src/x/f{k}.py", body(31, 4), f"m{k % 5}") for k in range(300)] + [(f"src/y/g{k}.py", body(32, 6), f"m{k % 3}") for k in range(300)] + [(f"src/z/h{k}.py", body(40 + k, 6), "z") for k in range(9)]
+    df = frame(spark, [(f"{p}:1", p, 1, None, t, None, m) for p, t, m in texts])
+    got = {hot: sorted(map(tuple, provenance.not_handwritten(df, hot=hot).collect())) for hot in (1, 100, 1000, 10**9)}
+    assert len(got[1]) == 300 and {r[1] for r in got[1]} == {"copy"} and all(x == got[1] for x in got.values())
+    assert "BroadcastHashJoin" in provenance.not_handwritten(df)._jdf.queryExecution().toString()

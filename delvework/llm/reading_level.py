@@ -1,14 +1,15 @@
 """Reading level of documents by propagating graded examples over a document-word graph.
 
 Paragraphs of running prose are tied to their words and to a few features of form (sentence and word length). Graded
-documents are clamped; difficulty flows from paragraphs to words and back in harmonic iterations. Words live in a
-hashed space of fixed size, so what an iteration gathers is bounded however large the corpus is.
+documents are clamped; difficulty flows from paragraphs to words and back in harmonic iterations, until it moves no
+more. Each word is a node of its own. Words below a share of all ties are left out, so what an iteration sends is
+bounded however large the corpus is, and the graph has the same form at any size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Size of the hashed word space; every iteration moves at most so many sums.
-DIM = 1 << 16
-ITERATIONS = 5
+from delvework.session import checkpointed
+
+#: A word has at least this share of all ties between paragraphs and words, so there are at most 1/share words.
+WORD_SHARE = 1e-5
+#: Iterations end where no word moves by more than this on the scale of levels, or at the latest after so many.
+TOLERANCE, ITERATIONS = 0.05, 12
 MIN_WORDS, MIN_WIDE = 60, 120
-#: Graded documents from which the cuts between levels are fitted, at most.
-SAMPLE = 20_000
+#: Steps on the scale of levels in which graded paragraphs are counted to find their medians.
+STEP = 0.002
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _HEADING = re.compile(r"^[ \t]*(?:#{1,6}\s|={1,6}\s).*|^[^\n]*\n(?:=+|-{3,})[ \t]*$", re.M)
@@ -58,15 +62,11 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
-def _h(key: str) -> int:
-    return zlib.crc32(key.encode()) % DIM
-
-
 class _Ids(dict):
     def __missing__(self, key: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        v = self[key] = _h(key)
+        v = self[key] = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big", signed=True)
         return v
 
 
@@ -74,7 +74,7 @@ _IDS = _Ids()
 
 
 def unit(par: str) -> tuple[list[int], int, int]:
-    """(hashed words and features of form, words, wide characters) of a paragraph."""
+    """(64-bit hashes of words and features of form, words, wide characters) of a paragraph."""
     wide = _WIDE.findall(par)
     sentences = max(1, len(_SENTENCE.findall(par)))
     if len(wide) * 3 > len(par):
@@ -97,38 +97,41 @@ def propagate_step(ids: np.ndarray, starts: np.ndarray, label: np.ndarray, size:
     ``ids`` holds the paragraphs' words one after another, ``starts`` where each begins; ``label`` is NaN where a
     paragraph's document isn't graded.
     """
+    counts = np.diff(np.append(starts, len(ids)))
+    par = np.repeat(np.arange(len(starts)), counts)
     w = weight[ids]
-    top, low = np.add.reduceat(w * value[ids], starts), np.add.reduceat(w, starts)
+    top, low = np.bincount(par, w * value[ids], len(starts)), np.bincount(par, w, len(starts))
     score = np.divide(top, low, out=np.full(len(starts), np.nan), where=low > 1e-9)
     used = np.where(np.isnan(label), score, label)
-    counts = np.diff(np.append(starts, len(ids)))
-    per = np.repeat(used, counts)
-    s = np.repeat(size, counts)
-    ok = ~np.isnan(per)
-    i = ids[ok]
-    return score, np.bincount(i, s[ok], DIM), np.bincount(i, s[ok] * per[ok], DIM), np.bincount(i, s[ok] * per[ok] ** 2, DIM)
-
-
-def word_state(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(difficulty, weight) of words from their sums: words that occur on one level only weigh more."""
-    value = np.divide(s, n, out=np.zeros(DIM), where=n > 0)
-    var = np.maximum(0, np.divide(q, n, out=np.zeros(DIM), where=n > 0) - value**2)
-    return value, np.where(n > 0, 1 / (0.05 + var), 0.0)
+    ok = ~np.isnan(used[par])
+    i, s, u = ids[ok], size[par[ok]], used[par[ok]]
+    return score, *(np.bincount(i, x, len(value)) for x in (s, s * u, s * u**2))
 
 
-def cuts(score: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Three increasing cuts between the levels: half way between the medians of graded paragraphs, which bear misjudged grades."""
-    mid = np.array([np.median(score[label == k]) if (label == k).any() else np.nan for k in (1, 2, 3, 4)])
-    known = np.flatnonzero(~np.isnan(mid))
-    if len(known) == 0:
-        return np.array([1.5, 2.5, 3.5])
-    # levels without grades lie at their distance from the nearest known one
-    full = np.array([mid[k] if k in known else mid[j := known[np.abs(known - k).argmin()]] + (k - j) for k in range(4)])
-    return np.maximum.accumulate((full[1:] + full[:-1]) / 2)
+def cuts(bins: list[tuple[float, float, int]]) -> list[float]:
+    """Three increasing cuts between the levels, half way between the medians of graded paragraphs, which bear misjudged grades.
 
-
-_UNITS = "doc_id long, part int, ids array<int>, words int, wide int"
-_UNIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int32())), ("words", pa.int32()), ("wide", pa.int32())])
+    ``bins`` has (grade, score, paragraphs).
+    """
+    mid = {}
+    for k in (1, 2, 3, 4):
+        own = sorted((score, n) for grade, score, n in bins if grade == k)
+        half, seen = sum(n for _, n in own) / 2, 0
+        for score, n in own:
+            seen += n
+            if seen >= half:
+                mid[k] = score
+                break
+    if not mid:
+        return [1.5, 2.5, 3.5]
+    # levels without grades lie between the known ones, or at their distance from the last of them
+    lo, hi = min(mid), max(mid)
+    full = [float(np.interp(k, sorted(mid), [mid[j] for j in sorted(mid)])) + min(0, k - lo) + max(0, k - hi) for k in (1, 2, 3, 4)]
+    return np.maximum.accumulate([(a + b) / 2 for a, b in zip(full, full[1:])]).tolist()
+
+
+_UNITS = "doc_id long, part int, ids array<long>, words int, wide int"
+_UNIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("words", pa.int32()), ("wide", pa.int32())])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,49 +157,104 @@ def _arrays(batch: pa.RecordBatch):
     return flat, starts, size, label
 
 
+def _vocabulary(units: DataFrame, share: float) -> np.ndarray:
+    """Sorted hashes of the words with at least ``share`` of all ties: at most 1 / ``share``, counted over all paragraphs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["w", "n"])
+
+    counts = units.select("ids").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = F.coalesce(counts.agg(F.sum("n")).scalar(), F.lit(0))
+    return np.sort(counts.where(F.col("n") >= total * share).select("w").toPandas()["w"].to_numpy(np.int64))
+
+
+def _numbered(units: DataFrame, words: np.ndarray) -> DataFrame:
+    """The paragraphs with places in ``words`` instead of hashes, other words left out."""
+    ref = units.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ref.value
+        for batch in batches:
+            ids = batch.column("ids")
+            h = ids.flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(words, h)
+            known = np.append(words, 0)[at] == h if len(words) else np.zeros(len(h), bool)
+            known &= at < len(words)
+            ends = np.concatenate([[0], np.cumsum(known)])[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
+            arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[known].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([arr if c == "ids" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return units.mapInArrow(run, "doc_id long, part int, ids array<int>, words int, wide int, size double, label double")
+
+
 def _propagated(units: DataFrame, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One harmonic iteration: new values and weights of the words, from at most ``DIM`` rows of sums."""
-    ref = units.sparkSession.sparkContext.broadcast((value, weight))
+    """One harmonic iteration: new difficulties and weights of the words, one row per word.
+
+    Words that occur on one level only weigh more.
+    """
+    ref, size = units.sparkSession.sparkContext.broadcast((value, weight)), len(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, weight = ref.value
-        sums = [np.zeros(DIM) for _ in range(3)]
+        sums = [np.zeros(size) for _ in range(3)]
         for batch in batches:
             if batch.num_rows:
-                flat, starts, size, label = _arrays(batch)
-                for total, x in zip(sums, propagate_step(flat, starts, label, size, value, weight)[1:]):
+                flat, starts, sizes, label = _arrays(batch)
+                for total, x in zip(sums, propagate_step(flat, starts, label, sizes, value, weight)[1:]):
                     total += x
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], names=["w", "n", "s", "q"])
 
     rows = units.select("ids", "size", "label").mapInArrow(run, "w int, n double, s double, q double")
     # rounded, so that the order in which partial sums meet doesn't show
-    got = rows.groupBy("w").agg(*(F.round(F.sum(c), 6).alias(c) for c in "nsq")).toPandas()
-    n, s, q = (np.zeros(DIM) for _ in range(3))
-    w = got["w"].to_numpy()
-    n[w], s[w], q[w] = got["n"], got["s"], got["q"]
+    per = rows.groupBy("w").agg(*(F.round(F.sum(c), 6).alias(c) for c in "nsq")).where("n > 0").withColumn("value", F.col("s") / F.col("n"))
+    got = per.select("w", "value", (1 / (0.05 + F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("value") ** 2))).alias("weight")).toPandas()
+    value, weight = np.zeros(size), np.zeros(size)
+    value[got["w"]], weight[got["w"]] = got["value"], got["weight"]
     ref.unpersist()
-    return word_state(n, s, q)
+    return value, weight
+
+
+def moved(before: np.ndarray, after: np.ndarray, reached: np.ndarray, now: np.ndarray) -> float:
+    """The largest move of a word, after a common shift and stretch of the scale, which the cuts between levels take up.
+
+    Infinite while words are still being reached for the first time.
+    """
+    if (reached != now).any():
+        return float("inf")
+    if reached.sum() < 3:
+        return 0.0
+    x, y = before[reached], after[reached]
+    rest = y - np.polyval(np.polyfit(x, y, 1), x) if x.std() > 1e-9 else y - x
+    return float(np.abs(rest).max())
 
 
-def reading_levels(documents: DataFrame, level_labels: DataFrame, iterations: int = ITERATIONS, sample: int = SAMPLE) -> DataFrame:
+def reading_levels(documents: DataFrame, level_labels: DataFrame, tolerance: float = TOLERANCE, iterations: int = ITERATIONS, share: float = WORD_SHARE) -> DataFrame:
     """``doc_id, reading_level, words, wide, difficulty`` of each document with enough running prose.
 
     Documents with at least 60 words (Chinese and Japanese: 120 characters) of running prose get the level, 1 plain to
     4 demanding, on which most of their prose is written; ``difficulty`` is the mean before it is cut into levels.
     Grades of a document are reduced to their (lower) median, null grades are ignored, grades of unknown documents
     have no effect, and without any grades only form could tell, so all documents stay at level 2. All documents take
-    part in the propagation; the cuts between levels are fitted on at most ``sample`` graded paragraphs. Null ids or
-    texts give no rows; equal ids count once.
+    part in the propagation, which ends where no word moves by more than ``tolerance``, after ``iterations`` at the
+    latest; words below the ``share`` of all ties are left out. The cuts between levels are fitted on all graded
+    paragraphs. Null ids or texts give no rows; equal ids count once.
     """
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     grades = level_labels.where("doc_id IS NOT NULL AND rated_level BETWEEN 1 AND 4").groupBy("doc_id").agg(F.sort_array(F.collect_list("rated_level")).alias("g"))
     grades = grades.select("doc_id", F.get("g", F.floor((F.size("g") - 1) / 2).cast("int")).cast("double").alias("label"))
-    units = docs.mapInArrow(_units, _UNITS).withColumn("size", F.greatest(F.col("words"), F.col("wide") / 2))
-    units = units.join(grades, "doc_id", "left").persist()
-    value, weight = np.zeros(DIM), np.zeros(DIM)
+    parsed = docs.mapInArrow(_units, _UNITS).withColumn("size", F.greatest(F.col("words"), F.col("wide") / 2))
+    parsed = parsed.join(grades, "doc_id", "left").persist()
+    words = _vocabulary(parsed, share)
+    units = checkpointed(_numbered(parsed.select("doc_id", "part", "ids", "words", "wide", "size", "label"), words))
+    parsed.unpersist()
+    value, weight = np.zeros(len(words)), np.zeros(len(words))
     for _ in range(iterations):
-        value, weight = _propagated(units, value, weight)
+        before, (value, weight) = (value, weight), _propagated(units, value, weight)
+        if moved(before[0], value, before[1] > 0, weight > 0) <= tolerance:
+            break
     ref = documents.sparkSession.sparkContext.broadcast((value, weight))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +266,12 @@ def reading_levels(documents: DataFrame, level_labels: DataFrame, iterations: in
                 cols = [batch.column(c) for c in ("doc_id", "part", "words", "wide", "size", "label")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(s)], names=["doc_id", "part", "words", "wide", "size", "label", "score"])
 
-    scored = units.select("doc_id", "part", "ids", "words", "wide", "size", "label").mapInArrow(score, "doc_id long, part int, words int, wide int, size double, label double, score double")
+    scored = units.mapInArrow(score, "doc_id long, part int, words int, wide int, size double, label double, score double")
     scored = scored.withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score"))).dropDuplicates(["doc_id", "part"])
-    graded = scored.where("label IS NOT NULL AND score IS NOT NULL").orderBy(F.xxhash64("doc_id", "part")).limit(sample).select("score", "label").toPandas()
-    c = cuts(graded["score"].to_numpy(), graded["label"].to_numpy())
-    level = F.when(F.col("score").isNull(), 2).when(F.col("score") < float(c[0]), 1).when(F.col("score") < float(c[1]), 2).when(F.col("score") < float(c[2]), 3).otherwise(4)
+    # at most four grades times the steps of the scale, whatever the number of paragraphs
+    bins = scored.where("label IS NOT NULL AND score IS NOT NULL").groupBy("label", (F.round(F.col("score") / STEP) * STEP).alias("at")).count().collect()
+    c = cuts([(r.label, r["at"], r["count"]) for r in bins])
+    level = F.when(F.col("score").isNull(), 2).when(F.col("score") < c[0], 1).when(F.col("score") < c[1], 2).when(F.col("score") < c[2], 3).otherwise(4)
     per = scored.withColumn("level", level).groupBy("doc_id").agg(
         *(F.sum(F.when(F.col("level") == k, F.col("size")).otherwise(0)).alias(f"l{k}") for k in (1, 2, 3, 4)),
         F.sum("words").alias("words"), F.sum("wide").alias("wide"),

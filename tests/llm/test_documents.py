@@ -208,8 +208,7 @@ def test_levels_edges(spark):
 def test_step_by_brute_force():
     rnd = np.random.default_rng(1)
     ids, starts = rnd.integers(0, 50, 40), np.array([0, 10, 25])
-    value, weight = np.zeros(reading_level.DIM), np.zeros(reading_level.DIM)
-    value[:50], weight[:50] = rnd.random(50), rnd.random(50)
+    value, weight = rnd.random(50), rnd.random(50)
     label, size = np.array([np.nan, 3.0, np.nan]), np.array([5.0, 6.0, 7.0])
     score, n, s, q = reading_level.propagate_step(ids, starts, label, size, value, weight)
     for k, (a, b) in enumerate(((0, 10), (10, 25), (25, 40))):
@@ -221,6 +220,28 @@ def test_step_by_brute_force():
         assert np.isclose(n[j], sum(size[k] for k in at)) and np.isclose(s[j], sum(size[k] * used[k] for k in at)) and np.isclose(q[j], sum(size[k] * used[k] ** 2 for k in at))
 
 
+def test_cuts_and_moves():
+    bins = [(1.0, 1.2, 5), (1.0, 3.9, 2), (2.0, 2.1, 9), (4.0, 3.5, 1), (4.0, 3.7, 1)]
+    assert reading_level.cuts(bins) == pytest.approx([1.65, 2.45, 3.15]) and reading_level.cuts([]) == [1.5, 2.5, 3.5]
+    x, all_ = np.array([1.0, 2.0, 3.0, 4.0]), np.ones(4, bool)
+    assert reading_level.moved(x, 0.9 * x + 0.3, all_, all_) < 1e-9 and reading_level.moved(x, x[::-1] ** 2, all_, all_) > 0.1
+    assert reading_level.moved(x, x, ~all_, all_) == float("inf")
+
+
+def test_each_word_is_a_node_of_its_own(spark):
+    """Many words, of which only a few tell the level: none shares its node with another."""
+    rnd = random.Random(8)
+    rare = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20_000)]
+    docs = [(i, " ".join([*rnd.sample(rare, 60), *([f"plain{i % 9}", "short"] if i % 2 else [f"arcane{i % 7}", "recondite"]) * 10]) + ".") for i in range(300)]
+    labels = spark.createDataFrame([(i, "r", 1 if i % 2 else 4) for i in range(60)], "doc_id long, rater string, rated_level int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.reading_level for r in reading_level.reading_levels(frame, labels).collect()}
+    assert all((got[i] <= 2) == bool(i % 2) for i in range(60, 300))
+    # words under the share are left out, the others still tell
+    few = {r.doc_id: r.reading_level for r in reading_level.reading_levels(frame, labels, share=1e-3).collect()}
+    assert all((few[i] <= 2) == bool(i % 2) for i in range(60, 300))
+
+
 def test_registered_queries_run(spark):
     from delvework.llm.queries import QUERIES
 

@@ -24,6 +24,8 @@ WORD_SHARE = 1e-5
 #: Iterations end where no word moves by more than this on the scale of levels, or at the latest after so many.
 TOLERANCE, ITERATIONS = 0.05, 12
 MIN_WORDS, MIN_WIDE = 60, 120
+#: Spread of levels (variance) that is supposed of a word for so many paragraphs.
+PRIOR, SUPPOSED = 1.0, 2.0
 #: Steps on the scale of levels in which graded paragraphs are counted to find their medians.
 STEP = 0.002
 
@@ -92,7 +94,7 @@ def unit(par: str) -> tuple[list[int], int, int]:
 
 
 def propagate_step(ids: np.ndarray, starts: np.ndarray, label: np.ndarray, size: np.ndarray, value: np.ndarray, weight: np.ndarray):
-    """Scores of paragraphs, and per word the sums of size, of size x score and of size x score squared.
+    """Scores of paragraphs, and per word the sums of size, of size x score, of size x score squared, and its paragraphs.
 
     ``ids`` holds the paragraphs' words one after another, ``starts`` where each begins; ``label`` is NaN where a
     paragraph's document isn't graded.
@@ -105,7 +107,7 @@ def propagate_step(ids: np.ndarray, starts: np.ndarray, label: np.ndarray, size:
     used = np.where(np.isnan(label), score, label)
     ok = ~np.isnan(used[par])
     i, s, u = ids[ok], size[par[ok]], used[par[ok]]
-    return score, *(np.bincount(i, x, len(value)) for x in (s, s * u, s * u**2))
+    return score, *(np.bincount(i, x, len(value)) for x in (s, s * u, s * u**2, np.ones(len(s))))
 
 
 def cuts(bins: list[tuple[float, float, int]]) -> list[float]:
@@ -192,25 +194,27 @@ def _numbered(units: DataFrame, words: np.ndarray) -> DataFrame:
 def _propagated(units: DataFrame, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One harmonic iteration: new difficulties and weights of the words, one row per word.
 
-    Words that occur on one level only weigh more.
+    Words that occur on one level only weigh more, the more so the more paragraphs show it: a word of one paragraph says
+    little, so a spread of ``PRIOR`` levels is supposed for ``SUPPOSED`` paragraphs besides.
     """
     ref, size = units.sparkSession.sparkContext.broadcast((value, weight)), len(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, weight = ref.value
-        sums = [np.zeros(size) for _ in range(3)]
+        sums = [np.zeros(size) for _ in range(4)]
         for batch in batches:
             if batch.num_rows:
                 flat, starts, sizes, label = _arrays(batch)
                 for total, x in zip(sums, propagate_step(flat, starts, label, sizes, value, weight)[1:]):
                     total += x
         at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], names=["w", "n", "s", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], names=["w", "n", "s", "q", "c"])
 
-    rows = units.select("ids", "size", "label").mapInArrow(run, "w int, n double, s double, q double")
+    rows = units.select("ids", "size", "label").mapInArrow(run, "w int, n double, s double, q double, c double")
     # rounded, so that the order in which partial sums meet doesn't show
-    per = rows.groupBy("w").agg(*(F.round(F.sum(c), 6).alias(c) for c in "nsq")).where("n > 0").withColumn("value", F.col("s") / F.col("n"))
-    got = per.select("w", "value", (1 / (0.05 + F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("value") ** 2))).alias("weight")).toPandas()
+    per = rows.groupBy("w").agg(*(F.round(F.sum(c), 6).alias(c) for c in "nsqc")).where("n > 0").withColumn("value", F.col("s") / F.col("n"))
+    spread = (F.col("c") * F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("value") ** 2) + SUPPOSED * PRIOR) / (F.col("c") + SUPPOSED)
+    got = per.select("w", "value", (1 / (0.05 + spread)).alias("weight")).toPandas()
     value, weight = np.zeros(size), np.zeros(size)
     value[got["w"]], weight[got["w"]] = got["value"], got["weight"]
     ref.unpersist()

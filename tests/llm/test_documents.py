@@ -210,14 +210,14 @@ def test_step_by_brute_force():
     ids, starts = rnd.integers(0, 50, 40), np.array([0, 10, 25])
     value, weight = rnd.random(50), rnd.random(50)
     label, size = np.array([np.nan, 3.0, np.nan]), np.array([5.0, 6.0, 7.0])
-    score, n, s, q = reading_level.propagate_step(ids, starts, label, size, value, weight)
+    score, n, s, q, c = reading_level.propagate_step(ids, starts, label, size, value, weight)
     for k, (a, b) in enumerate(((0, 10), (10, 25), (25, 40))):
         w = weight[ids[a:b]]
         assert np.isclose(score[k], (w * value[ids[a:b]]).sum() / w.sum())
     used = np.where(np.isnan(label), score, label)
     for j in range(50):
         at = [k for k, (a, b) in enumerate(((0, 10), (10, 25), (25, 40))) for i in ids[a:b] if i == j]
-        assert np.isclose(n[j], sum(size[k] for k in at)) and np.isclose(s[j], sum(size[k] * used[k] for k in at)) and np.isclose(q[j], sum(size[k] * used[k] ** 2 for k in at))
+        assert c[j] == len(at) and np.isclose(n[j], sum(size[k] for k in at)) and np.isclose(s[j], sum(size[k] * used[k] for k in at)) and np.isclose(q[j], sum(size[k] * used[k] ** 2 for k in at))
 
 
 def test_cuts_and_moves():
@@ -232,7 +232,8 @@ def test_each_word_is_a_node_of_its_own(spark):
     """Many words, of which only a few tell the level: none shares its node with another."""
     rnd = random.Random(8)
     rare = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20_000)]
-    docs = [(i, " ".join([*rnd.sample(rare, 60), *([f"plain{i % 9}", "short"] if i % 2 else [f"arcane{i % 7}", "recondite"]) * 10]) + ".") for i in range(300)]
+    plain, arcane = "cat bed red box now you map see".split(), "ostensible hermeneutic recondite monotonicity indeterminacy presupposes heterogeneity metatheoretical".split()
+    docs = [(i, " ".join([*rnd.sample(rare, 20), *rnd.choices(plain if i % 2 else arcane, k=60)]) + ".") for i in range(300)]
     labels = spark.createDataFrame([(i, "r", 1 if i % 2 else 4) for i in range(60)], "doc_id long, rater string, rated_level int")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.reading_level for r in reading_level.reading_levels(frame, labels).collect()}

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from delvework.llm.files import line_blocks, overlay
 from delvework.llm.islands import Source
 from delvework.llm.lexer import CODE, body, family, lex
 from delvework.llm.splitting import start_state
+from delvework.session import checkpointed
 
 #: Placeholders that stand where documentation should be (fixed values).
 _PLACEHOLDER = re.compile(r"^\W*(?:(?:TODO|FIXME|XXX|TBD|HACK|WIP)\b(?:\W*(?:add|write|missing)?\W*(?:docs?|documentation|description|comment)?)?|n/?a|none|docs?|description|documentation|document me|see above|see below|lorem ipsum.*|待补充|待办|暂无|説明|未記入)?\W*$", re.I)
@@ -108,8 +110,9 @@ def functions(text: str, path: str | None, first_line: int, whole: bool) -> list
         string = src.docstring(d)
         inner = statement(_dedent(body("s", string)), d.name) if string is not None else ""
         doc = "\n".join(x for x in (doc, inner) if x)
-        end = src.body_end(d) if doc else d.line
-        out.append({"function_name": d.name, "line": first_line + d.line, "doc": doc, "code": "\n".join(src.lines[d.line : end + 1]) if doc else "", "unsure": bool(cut and doc), "inner": inner})
+        end, closed = src.body(d) if doc else (d.line, True)
+        code = "\n".join(src.lines[d.line : end + 1]) if doc else ""
+        out.append({"function_name": d.name, "line": first_line + d.line, "doc": doc, "code": code, "open": not closed, "unsure": bool(cut and doc), "inner": inner})
     return out
 
 
@@ -121,9 +124,9 @@ def _dedent(s: str) -> str:
 
 
 _SCHEMA = pa.schema(
-    [("id", pa.string()), ("file_path", pa.string()), ("start_line", pa.int32()), ("function_name", pa.string()), ("line", pa.int32()), ("doc", pa.string()), ("code", pa.string()), ("unsure", pa.bool_()), ("inner", pa.string())]
+    [("id", pa.string()), ("file_path", pa.string()), ("start_line", pa.int32()), ("function_name", pa.string()), ("line", pa.int32()), ("doc", pa.string()), ("code", pa.string()), ("open", pa.bool_()), ("unsure", pa.bool_()), ("inner", pa.string())]
 )
-_DDL = "id string, file_path string, start_line int, function_name string, line int, doc string, code string, unsure boolean, inner string"
+_DDL = "id string, file_path string, start_line int, function_name string, line int, doc string, code string, open boolean, unsure boolean, inner string"
 #: Lines of a file that share a join key.
 _NEAR = 256
 
@@ -137,11 +140,12 @@ def _commented(chunks: DataFrame) -> DataFrame:
 
 
 def documented_functions(chunks: DataFrame) -> DataFrame:
-    """``id, file_path, function_name, line, doc, code``: functions whose documentation says something.
+    """``id, file_path, function_name, line, doc, code, open``: functions whose documentation says something.
 
     ``doc`` is the comment directly above the declaration (attributes, decorators and annotations may stand between)
     and, in Python, the string that opens the body, without tags, directives, placeholders, ornaments and disabled
-    code; ``code`` runs from the declaration's line to the end of its balanced body or of the chunk. A line comment
+    code; ``code`` runs from the declaration's line to the end of its balanced body, or, if that is still ``open`` there,
+    of the chunk (see :func:`whole_bodies`). A line comment
     with which a line window begins is whole only if another window shows that no comment stands above it. Null ids,
     paths or contents and files of unknown kinds give no rows; equal rows count once; a null start line counts as 1.
     """
@@ -158,19 +162,94 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
                         rows.append({"id": r["id"], "file_path": r["file_path"], "start_line": r["start_line"], **f})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    found = c.mapInArrow(run, _DDL).dropDuplicates(["id", "function_name", "line"]).persist()
-    sure = found.where("NOT unsure").select("id", "file_path", "function_name", "line", "doc", "code")
+    # written once, as both kinds below read it
+    found = checkpointed(c.mapInArrow(run, _DDL).dropDuplicates(["id", "function_name", "line"]))
+    sure = found.where("NOT unsure").select("id", "file_path", "function_name", "line", "doc", "code", "open")
     above = F.col("start_line") - 1
     asked = found.where("unsure").withColumn("near", F.floor(above / _NEAR))
     # windows also begin at line 1, and those are whole; their lines are wanted as well
     seen = _commented(c.withColumn("whole", F.col("whole") & (F.col("start_line") > 1)))
     at = F.get("flags", above - F.col("first"))
-    told = asked.join(seen, ["file_path", "near"], "left").groupBy("id", "file_path", "function_name", "line", "doc", "code", "inner").agg(F.max(F.when(above >= F.col("first"), at)).alias("more"))
+    told = asked.join(seen, ["file_path", "near"], "left").groupBy("id", "file_path", "function_name", "line", "doc", "code", "open", "inner").agg(F.max(F.when(above >= F.col("first"), at)).alias("more"))
     doc = F.when(~F.coalesce("more", F.lit(True)), F.col("doc")).otherwise(F.col("inner"))
-    kept = told.select("id", "file_path", "function_name", "line", doc.alias("doc"), "code").where("doc <> ''")
+    kept = told.select("id", "file_path", "function_name", "line", doc.alias("doc"), "code", "open").where("doc <> ''")
     return sure.unionByName(kept)
 
 
+class _Body:
+    """A function whose body runs on behind its chunk, with the lines gathered so far."""
+
+    def __init__(self, row: dict):
+        self.row, self.lines, self.tried = row, [], 0
+
+    def add(self, first_line: int, lines: list[str]) -> None:
+        """Lines of the file from ``first_line`` on; those that no chunk has are empty."""
+        at = self.row["line"] + len(self.lines)
+        self.lines += [""] * max(0, first_line - at) + lines[max(0, at - first_line) :]
+
+    def code(self, last: bool) -> str | None:
+        """The declaration up to the end of its body; None while that isn't there. Looked for where the text has doubled."""
+        size = sum(map(len, self.lines)) + len(self.lines)
+        if not last and size < 2 * self.tried:
+            return None
+        self.tried = size
+        src = Source("\n".join(self.lines), family(self.row["file_path"]))
+        decl = next((d for d in src.declarations() if d.line == 0), None)
+        end, closed = src.body(decl) if decl else (0, True)
+        return "\n".join(src.lines[: end + 1]).rstrip("\n") if closed or last else None
+
+
+_BODY = pa.schema([("id", pa.string()), ("function_name", pa.string()), ("line", pa.int32()), ("whole", pa.string())])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Goes through files in the order of their lines; only the open functions of one file are kept."""
+    path, active = None, []
+
+    def done(last: bool) -> list[dict]:
+        out = []
+        for b in list(active):
+            code = b.code(last) if b.lines or last else None
+            if code is not None:
+                active.remove(b)
+                out.append({"id": b.row["id"], "function_name": b.row["function_name"], "line": b.row["line"], "whole": code})
+        return out
+
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            if r["file_path"] != path:
+                rows += done(True)
+                path = r["file_path"]
+            if r["id"] is not None:
+                active.append(_Body(r))
+            elif active:
+                lines = overlay(r["offs"], r["texts"]).split("\n")
+                for b in active:
+                    b.add(r["first_line"], lines)
+                rows += done(False)
+        yield pa.RecordBatch.from_pylist(rows, schema=_BODY)
+    yield pa.RecordBatch.from_pylist(done(True), schema=_BODY)
+
+
+def whole_bodies(pairs: DataFrame, chunks: DataFrame, block_lines: int = 256) -> DataFrame:
+    """The ``pairs`` of :func:`documented_functions` with ``code`` up to the end of each body, beyond the chunk as well.
+
+    The files of open functions are put together again in blocks of lines and gone through in order. A body that no
+    later chunk closes runs to the end of what there is of its file.
+    """
+    todo = pairs.where("open").select("id", "file_path", "function_name", "line")
+    near = todo.groupBy("file_path").agg(F.min("line").alias("_from"))
+    ends = F.coalesce("start_line", F.lit(1)) + F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    later = chunks.select("file_path", "start_line", "content").join(near, "file_path").where(ends >= F.col("_from"))
+    blocks = line_blocks(later, block_lines).select("file_path", "first_line", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("int").alias("line"), "offs", "texts")
+    first = (F.floor((F.col("line") - 1) / block_lines) * block_lines + 1).cast("int")
+    events = todo.select("file_path", first.alias("first_line"), F.lit(0).alias("kind"), "id", "function_name", "line", F.lit(None).cast("array<int>").alias("offs"), F.lit(None).cast("array<string>").alias("texts"))
+    ordered = events.unionByName(blocks).repartition("file_path").sortWithinPartitions("file_path", "first_line", "kind")
+    bodies = ordered.mapInArrow(_bodies, "id string, function_name string, line int, whole string")
+    return pairs.join(bodies, ["id", "function_name", "line"], "left").select("id", "file_path", "function_name", "line", "doc", F.coalesce("whole", "code").alias("code"))
+
+
 def found(pairs: DataFrame) -> DataFrame:
     """``id, function_name``, distinct."""
     return pairs.select("id", "function_name").distinct()

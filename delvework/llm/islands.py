@@ -178,6 +178,10 @@ class Source:
 
     def body_end(self, decl: Decl) -> int:
         """The last line of a declaration's balanced body, or the text's last line where it runs on."""
+        return self.body(decl)[0]
+
+    def body(self, decl: Decl) -> tuple[int, bool]:
+        """(last line, whether the body ends there) of a declaration's balanced body; else it may run on behind the text."""
         if self.fam == "python":
             close = self._close(self.mask.find("(", decl.pos)) if "(" in self.mask[decl.pos : decl.pos + 200] else decl.pos
             k = self.line_of(close if close is not None else len(self.mask) - 1)
@@ -186,21 +190,21 @@ class Source:
                 s = self.lines[j]
                 if s.strip():
                     if len(s) - len(s.lstrip()) <= indent and self.mlines[j].strip():
-                        break
+                        return last, True
                     last = j
-            return last
+            return last, False
         if self.fam in ("ruby", "lua"):
             pad = self.mlines[decl.line][: len(self.mlines[decl.line]) - len(self.mlines[decl.line].lstrip())]
             for j in range(decl.line + 1, len(self.lines)):
                 if re.match(rf"{pad}end\b", self.mlines[j]):
-                    return j
-            return len(self.lines) - 1
+                    return j, True
+            return len(self.lines) - 1, False
         start = self.mask.find("{", decl.pos)
         semi = self.mask.find(";", decl.pos)
         if start < 0 or 0 <= semi < start:
-            return self.line_of(semi) if semi >= 0 else decl.line
+            return (self.line_of(semi) if semi >= 0 else decl.line), start >= 0 or semi >= 0
         close = self._close(start, "{", "}")
-        return self.line_of(close) if close is not None else len(self.lines) - 1
+        return (self.line_of(close), True) if close is not None else (len(self.lines) - 1, False)
 
     def _close(self, start: int, a: str = "(", b: str = ")") -> int | None:
         depth = 0

@@ -8,6 +8,7 @@ size; what each block leaves undecided meets in fewer blocks, until a handful pe
 
 from __future__ import annotations
 
+import base64
 import bisect
 import math
 import random
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from delvework.session import checkpointed
+
 #: Texts whose flight runs in one task at a time; each block leaves two of them undecided at most.
 BLOCK = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 EPS = 1e-9
+#: Sources up to which what is known of them is sent to all tasks.
+FEW = 100_000
 
 
 def flight(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -87,17 +92,13 @@ def landing(pi: list[float], size: list[float], start: list[float]) -> list[floa
     return out
 
 
-def _counted(tokenizer: str):
+def _counted(ranks_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
         import tiktoken
 
         # a plain splitting pattern: words with the blank before them, numbers, marks, white space
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks_ref.value, special_tokens={})
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
             keep = [c for c in batch.schema.names if c != "text"]
@@ -107,10 +108,16 @@ def _counted(tokenizer: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, text_id, tokens``: clean source names, a hash of the text, and its length in tokens."""
+    """``doc_id, source, text_id, tokens``: clean source names, a hash of the text, and its length in tokens.
+
+    The tokenizer's file is read here and sent along: it has one line per token, so its size is that of a vocabulary.
+    """
+    with open(tokenizer, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ref = documents.sparkSession.sparkContext.broadcast(ranks)
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL")
     d = d.select("doc_id", F.lower(F.trim("source")).alias("source"), F.md5("text").alias("text_id"), "text")
-    return d.mapInArrow(_counted(tokenizer), "doc_id long, source string, text_id string, tokens long")
+    return d.mapInArrow(_counted(ref), "doc_id long, source string, text_id string, tokens long")
 
 
 def _flown(undecided: DataFrame, blocks: DataFrame, seed: int, last: bool) -> DataFrame:
@@ -131,7 +138,7 @@ def _flown(undecided: DataFrame, blocks: DataFrame, seed: int, last: bool) -> Da
         return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "tokens": pdf["tokens"], "pi": out})
 
     # the last blocks are one per source, whatever their number of texts (at most BLOCK, as counted before)
-    b = undecided.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).cast("int"))
+    b = undecided.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).cast("int"))
     return b.select("source", "block", "doc_id", "tokens", "pi").groupBy("source", "block").applyInPandas(run, "source string, doc_id long, tokens long, pi double")
 
 
@@ -150,8 +157,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
     counted = token_counts(documents, tokenizer).groupBy("text_id").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("r")).select("r.*").where("tokens > 0")
-    texts = counted.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, "source").persist()
-    per = texts.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n"), F.first("target_share").alias("p"), F.first("max_repeats").alias("m")).persist()
+    # one row per source: sent where there are few, as counted
+    few = targets.count() <= FEW
+
+    def sent(one_per_source: DataFrame) -> DataFrame:
+        return F.broadcast(one_per_source) if few else one_per_source
+
+    texts = checkpointed(counted.join(sent(targets), "source"))
+    per = texts.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n"), F.first("target_share").alias("p"), F.first("max_repeats").alias("m"))
+    per = checkpointed(per)
     lim = per.agg(F.sum("p").alias("p"), F.min(F.col("have") * F.col("m") / F.col("p")).alias("t")).first()
     if not lim.p:
         return spark.createDataFrame([], "doc_id long, source string, tokens long, copies long, target_share double")
@@ -159,7 +173,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     plan = per.select("source", "n", F.least(F.col("m").cast("double"), F.lit(size / lim.p) * F.col("p") / F.col("have")).alias("each"))
     # a plan of one row per source: as many as there are targets with texts
     plan = plan.select("source", "n", F.floor(F.col("each") + EPS).alias("whole"), F.greatest(F.lit(0.0), F.col("each") - F.floor(F.col("each") + EPS)).alias("pi"))
-    units = texts.join(plan, "source").select("doc_id", "source", "tokens", "target_share", "whole", "pi")
+    units = texts.join(sent(plan), "source").select("doc_id", "source", "tokens", "target_share", "whole", "pi")
     undecided = units.where(F.col("pi") > EPS).select("source", "doc_id", "tokens", "pi")
     most = per.agg(F.max("n")).first()[0]
     counts = per.select("source", F.col("n").cast("long").alias("left"))
@@ -168,7 +182,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     while True:
         last = most <= block
         blocks = counts.select("source", F.greatest(F.lit(1), F.ceil(F.col("left") / block)).alias("n_blocks"), "left")
-        flown = _flown(undecided, blocks.select("source", "n_blocks"), seed + level, last).persist()
+        flown = checkpointed(_flown(undecided, sent(blocks.select("source", "n_blocks")), seed + level, last))
         done = flown.where(~F.col("pi").between(EPS, 1 - EPS)).select("doc_id", F.col("pi").cast("long").alias("extra"))
         decided = done if decided is None else decided.unionByName(done)
         if last:

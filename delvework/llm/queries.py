@@ -53,7 +53,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return doc_pairs.documented_functions(spread(table(spark, d, "chunks")))
+    chunks = spread(table(spark, d, "chunks"))
+    return doc_pairs.whole_bodies(doc_pairs.documented_functions(chunks), chunks)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

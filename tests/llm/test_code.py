@@ -191,6 +191,23 @@ def test_documentation_cut_off_by_a_window(spark):
     assert got == {("v2", says), ("u1", says), ("u2", says), ("s2", "of all the rows\nReads one row at most.")}
 
 
+@pytest.mark.parametrize("cut", [3, 4, 9, 40, 300, 700])
+def test_bodies_run_on_over_chunks(spark, cut):
+    files = {
+        "a.rs": ["// Reads one row at most.", "fn f() {", *["  let a = g(\"}\");", "  if a { b(); }", ""] * 200, "}", "", "fn g() {}"],
+        "b.py": ["# Reads one row at most.", "def f(a):", *["    x = a", ""] * 300, "    return x", "", "y = 1"],
+        "c.rb": ["# Reads one row at most.", "def f(a)", *["  if a", "  end"] * 100, "end", "x = 1"],
+        "d.c": ["/* Reads one row at most. */", "int f(int a) {", *["  a += 1; /* } */"] * 50],
+    }
+    rows = []
+    for p, ls in files.items():
+        for a in range(0, len(ls), cut):
+            rows.append((f"{p}:{a + 1}", p, a + 1, None, "\n".join(ls[a : a + cut]), "s", None))
+    df = frame(spark, rows)
+    got = {r.file_path: r.code.split("\n") for r in doc_pairs.whole_bodies(doc_pairs.documented_functions(df), df, 64).collect() if r.function_name == "f"}
+    assert got == {"a.rs": files["a.rs"][1:603], "b.py": files["b.py"][1:603], "c.rb": files["c.rb"][1:203], "d.c": files["d.c"][1:]}
+
+
 # credentials
 
 WORDS = secrets.Dictionary({"render": 50, "bucket": 40, "snapshot": 40, "reader": 30})

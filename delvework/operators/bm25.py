@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delvework.functions import text as T
+from delvework.session import checkpointed
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -40,8 +41,9 @@ def scored(
 
     Rows of a table with ``last_indexed`` count once per id, as indexed last; other tables have unique ids.
     ``columns`` gives the weight of each text column, ``count`` how often a term occurs in a text, ``size`` a text's
-    length in tokens. The number of rows, of rows per term and the mean length are those of all ``rows``, taken in one
-    pass beside the search; filters belong behind this.
+    length in tokens. The number of rows, of rows per term and the mean length are those of all ``rows``. One pass over
+    the texts leaves the counts of the rows that are met and one row of totals, written once, from which all else is
+    taken; filters belong behind this.
     """
     tfs = [sum((w * count(F.col(c), t) for c, w in columns.items()), F.lit(0.0)) for t in terms]
     tokens = sum((size(F.col(c)) for c in columns), F.lit(0).cast("long"))
@@ -51,18 +53,21 @@ def scored(
     base = rows.where("id IS NOT NULL").select(*keep, *version, tokens.alias("_d"), *(tf.alias(f"_tf{i}") for i, tf in enumerate(tfs)))
     if version:  # only the counts are moved, never the texts
         base = unique(base, *keep, *counts)
-    n = F.count("*").cast("double")
-    idf = []
-    for i in range(len(terms)):
-        df = F.count_if(F.col(f"_tf{i}") > 0)
-        x = F.ln((n - df + 0.5) / (df + 0.5))
-        idf.append(F.when(x <= 0, LEAST_IDF).otherwise(x).alias(f"idf{i}"))
-    stats = base.agg(F.struct(F.greatest(F.avg("_d"), F.lit(1e-9)).alias("avg"), *idf).alias("s")).scalar()
     hits = [F.col(f"_tf{i}") > 0 for i in range(len(terms))]
     any_, all_ = F.lit(False), F.lit(True)
     for h in hits:
         any_, all_ = any_ | h, all_ & h
-    out = base.where(any_).withColumn("_s", stats)
+    # texts are read once: rows without any term shrink to one row of totals per task, the others are kept
+    keys = [F.when(any_, F.col(k)).alias(k) for k in keep]
+    met = checkpointed(base.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_d").alias("_sum"), *(F.max(c).alias(c) for c in counts)))
+    n = F.sum("_n").cast("double")
+    idf = []
+    for i in range(len(terms)):
+        df = F.count_if(F.col("id").isNotNull() & hits[i])
+        x = F.ln((n - df + 0.5) / (df + 0.5))
+        idf.append(F.when(x <= 0, LEAST_IDF).otherwise(x).alias(f"idf{i}"))
+    stats = met.agg(F.struct(F.greatest(F.sum("_sum") / n, F.lit(1e-9)).alias("avg"), *idf).alias("s")).scalar()
+    out = met.where("id IS NOT NULL").withColumn("_s", stats)
     score = _score([F.col(f"_tf{i}") for i in range(len(terms))], F.col("_d").cast("double"), F.col("_s"), [F.col(f"_s.idf{i}") for i in range(len(terms))])
     return out.select(*keep, F.round(score, 6).alias("score"), all_.alias("all_terms"))
 

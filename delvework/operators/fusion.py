@@ -29,6 +29,8 @@ def fuse(lists: list[DataFrame], limit: int, key: str = "id") -> DataFrame:
     per = all_.groupBy(key).agg(
         F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.min_by("score", "list_no").alias("raw"), F.min("list_no").alias("lo"), F.max("list_no").alias("hi")
     )
-    used = per.agg(F.max("hi") > F.min("lo")).scalar()
+    # a window over ranked lists, which hold no more rows than were asked for
+    whole = Window.partitionBy()
+    used = F.max("hi").over(whole) > F.min("lo").over(whole)
     fused = per.select(key, F.round(F.when(used, F.col("rrf")).otherwise(F.col("raw")), 6).alias("score"))
     return top(fused, limit, key)

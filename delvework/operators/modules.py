@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROOT = "_root_"
@@ -94,8 +94,12 @@ def outdated(changes: DataFrame, modules: DataFrame, now: int) -> DataFrame:
     others keep their status (``new_status`` is null).
     """
     name = F.element_at(F.split("path", "/"), -1)
-    per = changes_by_module(changes, modules).groupBy("module_key").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(F.struct("path", name.alias("name")))).alias("p"))
-    per = per.select("module_key", "files", F.array_join(F.transform(F.slice("p", 1, 3), lambda x: x["name"]), ", ").alias("names"))
+    each = changes_by_module(changes, modules)
+    # only the first three of a module are gathered, however many it has
+    place = F.row_number().over(Window.partitionBy("module_key").orderBy("path"))
+    first = each.withColumn("_k", place).where("_k <= 3").groupBy("module_key").agg(F.array_sort(F.collect_list(F.struct("path", name.alias("name")))).alias("p"))
+    names = first.select("module_key", F.array_join(F.transform("p", lambda x: x["name"]), ", ").alias("names"))
+    per = each.groupBy("module_key").agg(F.count("*").alias("files")).join(names, "module_key")
     out = per.join(statuses(modules, now), "module_key")
     reason = F.concat(F.col("files").cast("string"), F.lit(" file(s) changed: "), F.col("names"))
     new = F.when(F.col("state").isin("understood", "partial"), status_text(F.lit("outdated"), F.lit(now), reason))

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delvework.session import checkpointed
+
 #: Queries compared in one task at a time.
 QUERY_BLOCK = 1024
 
@@ -24,8 +27,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(ok, dot(a, b) / norm), F.lit(0.0))
 
 
-def _unit(vectors: list) -> np.ndarray:
-    m = np.array(vectors, dtype=np.float64)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    m = np.asarray(vectors, dtype=np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
@@ -34,52 +37,51 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
     """``query_id, id, score, rank``: the ``k`` nearest of ``corpus(id, vector)`` to each of ``queries(id, vector)``.
 
     Exact: a stated set of queries meets every row, in blocks. Both sides are packed into blocks of at most ``block``
-    vectors and each pair of blocks is one matrix product whose best ``k`` per query are kept, so what is shuffled
-    after it is ``k`` rows per query and corpus block. Vectors of another length than their query block's, or null,
-    are left out.
+    vectors of one length and each pair of blocks is one matrix product whose best ``k`` per query are kept, so what is
+    shuffled after it is ``k`` rows per query and corpus block. The corpus is read once per block of queries, so the
+    queries should be few beside it: their blocks are written once and their numbers, one per ``block`` queries, are
+    sent. Vectors only meet vectors of their length; null ids, null and empty vectors are left out.
     """
-    q = _blocks(queries, block).select(F.col("items").alias("q")).withColumn("q_no", F.monotonically_increasing_id())
-    c = _blocks(corpus, block).select(F.col("items").alias("c"))
-    # blocks, not rows, are paired: the block numbers of the queries are listed once and every corpus block meets each
-    numbers = q.agg(F.collect_list("q_no").alias("n")).scalar()
-    pairs = c.withColumn("q_no", F.explode(numbers)).join(q, "q_no").select("q", "c")
+    q = checkpointed(_blocks(queries, block).select(F.monotonically_increasing_id().alias("q_no"), "width", F.col("ids").alias("q_ids"), F.col("flat").alias("q")))
+    c = _blocks(corpus, block).join(F.broadcast(q.select("q_no", "width")), "width")
+    # blocks, not rows, are paired
+    pairs = c.join(q.drop("width"), "q_no").select("q_ids", "q", "ids", "flat", "width")
     found = pairs.mapInArrow(_best(k, exclude_self), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``items``: the rows of each partition packed into lists of at most ``block``."""
+    """``width, ids, flat``: the rows of each batch packed into blocks of at most ``block`` vectors of one length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, block):
-                part = batch.slice(i, block)
-                items = pa.StructArray.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.list_(pa.float32()))], names=["id", "vector"])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), items)], names=["items"])
+            width = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for w in np.unique(width):
+                part = batch.filter(pa.array(width == w))
+                for i in range(0, part.num_rows, block):
+                    ids, vectors = part.column(0)[i : i + block], part.column(1)[i : i + block]
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids.cast(pa.int64()), vectors.flatten().cast(pa.float32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), *lists], names=["width", "ids", "flat"])
 
-    return rows.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector").mapInArrow(run, "items array<struct<id:long,vector:array<float>>>")
+    return rows.where("id IS NOT NULL AND size(vector) > 0").select("id", "vector").mapInArrow(run, "width int, ids array<long>, flat array<float>")
 
 
 def _best(k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                width = len(q[0]["vector"])
-                q = [r for r in q if len(r["vector"]) == width]
-                c = [r for r in c if len(r["vector"]) == width]
-                if not q or not c or not width:
-                    continue
-                ids = np.array([r["id"] for r in c], np.int64)
-                s = np.round(_unit([r["vector"] for r in q]) @ _unit([r["vector"] for r in c]).T, 6)
-                out: tuple[list, list, list] = ([], [], [])
-                for j, r in enumerate(q):
-                    sj = np.where(ids == r["id"], -2.0, s[j]) if exclude_self else s[j]
-                    for i in np.lexsort((ids, -sj))[:k]:
-                        if sj[i] > -2.0:
-                            out[0].append(r["id"])
-                            out[1].append(int(ids[i]))
-                            out[2].append(float(sj[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "score"])
+            for j in range(batch.num_rows):
+                q_ids, q, ids, c = (batch.column(n)[j].values.to_numpy(zero_copy_only=False) for n in range(4))
+                width = batch.column(4)[j].as_py()
+                s = np.round(_unit(q.reshape(-1, width)) @ _unit(c.reshape(-1, width)).T, 6)
+                if exclude_self:
+                    s[q_ids[:, None] == ids[None, :]] = -2.0
+                # ties by id: columns in the order of ids, then a stable order by score
+                by_id = np.argsort(ids, kind="stable")
+                order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]
+                score = np.take_along_axis(s, order, axis=1)
+                keep = score > -2.0
+                row = np.broadcast_to(np.arange(len(q_ids))[:, None], order.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[order[keep]]), pa.array(score[keep])], names=["query_id", "id", "score"])
 
     return run
 

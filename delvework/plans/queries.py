@@ -211,10 +211,14 @@ def cosine_module_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    """The documents nearest to the vector with the least id, as a ranked list; document n has vector n modulo 500."""
+    """The documents nearest to the vector with the least id, as a ranked list.
+
+    The tables have no ids in common: document n has the vector of place n modulo the number of vectors, so all of them
+    take part.
+    """
     v = _vectors(spark, d)
     one = v.agg(F.min_by("vector", "id")).scalar()
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 500).alias("id"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % v.agg(F.count("*")).scalar()).alias("id"))
     rows = docs.join(v, "id").withColumn("asked", one)
     return fusion.top(rows.select(F.col("doc_id").alias("id"), F.round(vectors.cosine(F.col("vector"), F.col("asked")), 6).alias("score")), limit)
 

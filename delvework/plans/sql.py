@@ -71,7 +71,7 @@ def _dirs(depth: int) -> str:
 _EXTS = f"SELECT directory, {_EXT.format(p='path')} AS extension, count(*) AS files FROM ({{d}}) GROUP BY ALL"
 _NEAR = """SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM
   (SELECT doc_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT arg_min(CAST(embedding AS DOUBLE[]), vec_id) FROM embeddings)), 6) AS score
-   FROM embeddings JOIN documents ON vec_id = doc_id % 500) ORDER BY score DESC, id LIMIT 60"""
+   FROM embeddings JOIN documents ON vec_id = doc_id % (SELECT count(*) FROM embeddings)) ORDER BY score DESC, id LIMIT 60"""
 
 
 def _knn(where: str, k: int) -> str:
@@ -84,13 +84,10 @@ def _boundaries() -> str:
     """SQL for boundary chunks of PHP, Kotlin, Lua and shell chunks taken as files."""
     from delvework.operators.chunking import BOUNDARIES
 
-    import re
-
     parts = []
     for ext in ("php", "kt", "lua", "sh"):
-        pattern = BOUNDARIES[ext].replace("'", "''")
-        groups = re.compile(BOUNDARIES[ext]).groups
-        name = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '{pattern}', {g}), '')" for g in range(1, groups + 1)) + ", '')"
+        forms = [f"nullif(regexp_extract(x, '{p}', 1), '')" for p in BOUNDARIES[ext]]
+        name = "coalesce(" + ", ".join(forms) + ", '')"
         parts.append(f"SELECT f, ls, i AS line, {name} AS name FROM (SELECT f, ls, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM files WHERE ends_with(f, '.{ext}'))")
     return f"""WITH files AS (SELECT replace(id, ':', '/') || '.' || e AS f, {_lines('content')} AS ls FROM (SELECT id, any_value(content) AS content, {_EXT.format(p='any_value(file_path)')} AS e FROM chunks GROUP BY id)),
       cut AS (SELECT f, ls, name, line AS a, coalesce(lead(line) OVER (PARTITION BY f ORDER BY line) - 1, len(ls)) AS b FROM ({' UNION ALL '.join(parts)}) WHERE name <> ''),

@@ -188,10 +188,12 @@ class Source:
             indent, last = len(self.mlines[decl.line]) - len(self.mlines[decl.line].lstrip()), k
             for j in range(k + 1, len(self.lines)):
                 s = self.lines[j]
-                if s.strip():
-                    if len(s) - len(s.lstrip()) <= indent and self.mlines[j].strip():
-                        return last, True
+                if not s.strip():
+                    continue
+                if len(s) - len(s.lstrip()) > indent:
                     last = j
+                elif self.mlines[j].strip():
+                    return last, True
             return last, False
         if self.fam in ("ruby", "lua"):
             pad = self.mlines[decl.line][: len(self.mlines[decl.line]) - len(self.mlines[decl.line].lstrip())]

@@ -71,6 +71,19 @@ def python_syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.python_chunks(files, 60, 10).select("id", "start_line", "end_line", "symbol_name")
 
 
+@query
+def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
+    files = chunking.reassembled(table(spark, d, "chunks").where(chunking.has_syntax(F.col("file_path"))))
+    return chunking.syntax_chunks(files, 60, 10).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
+
+
+@query
+def all_kinds_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The dispatcher over whole files of every kind, code and documents."""
+    both = chunking.reassembled(table(spark, d, "chunks")).unionByName(chunking.reassembled(table(spark, d, "doc_chunks")))
+    return chunking.chunk_files(both, 60, 10).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
+
+
 @query
 def preview_lines(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).where("id IS NOT NULL").select("id", T.preview(F.col("content"), 5).alias("preview")).dropDuplicates(["id"])

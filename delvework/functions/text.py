@@ -81,6 +81,13 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A path as :func:`normal_path` has it, relative to ``root`` where it is absolute and lies below."""
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return normal_path(F.when(F.startswith(slashed, F.lit(base)), F.substring(slashed, len(base) + 1, 1 << 30)).otherwise(slashed))
+
+
 def extension(path: Column) -> Column:
     """The lower-case extension of a path's last component; ``~`` where there is none."""
     ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))

@@ -40,6 +40,45 @@ def statuses(modules: DataFrame, now: int) -> DataFrame:
     return modules.select("module_key", parse_status(F.col("raw_status"), now).alias("s")).select("module_key", "s.*")
 
 
+def registry(files: DataFrame, root: str = "modules") -> DataFrame:
+    """``module_key, raw_status``: the modules of a tree of documents, at any depth.
+
+    ``files(file_path, content)``; a directory below ``root`` with a file ``STATUS`` is a module, its key is its path.
+    """
+    of = F.regexp_extract("file_path", rf"(?:^|/){root}/(.+)/STATUS$", 1)
+    return files.where("file_path IS NOT NULL").select(of.alias("module_key"), F.col("content").alias("raw_status")).where("module_key <> ''").dropDuplicates(["module_key"])
+
+
+def doc_key(path: Column, root: str = "modules") -> Column:
+    """The module of a document: its directory below ``root``, or its own name where it lies directly there."""
+    below = F.regexp_replace(path, f"^{root}/", "")
+    return F.when(F.contains(below, F.lit("/")), F.regexp_replace(below, "/[^/]*$", "")).otherwise(F.regexp_replace(below, r"(?:\.md)+$", ""))
+
+
+def overview(modules: DataFrame, now: int) -> DataFrame:
+    """``module_key, state, since, reason, outdated``: the status of each module, beside how many are outdated in all."""
+    status = statuses(modules, now)
+    n = status.agg(F.count_if(F.col("state") == "outdated")).scalar()
+    return status.withColumn("outdated", n)
+
+
+def analyzed(modules: DataFrame, keys: DataFrame, now: int, force: bool = False) -> DataFrame:
+    """``module_key, raw_status``: the modules after work on those of ``keys(module_key)`` has begun.
+
+    They become analyzing, new keys as well; those that are understood stay so unless ``force``.
+    """
+    asked = keys.where("module_key IS NOT NULL").select("module_key").distinct()
+    both = modules.select("module_key", "raw_status").join(asked.withColumn("_asked", F.lit(True)), "module_key", "full_outer")
+    open_ = F.col("_asked") & (F.lit(force) | (parse_status(F.col("raw_status"), now)["state"] != "understood"))
+    begun = status_text(F.lit("analyzing"), F.lit(now), F.lit(None).cast("string"))
+    return both.select("module_key", F.when(open_, begun).otherwise(F.col("raw_status")).alias("raw_status"))
+
+
+def safe_label(key: Column) -> Column:
+    """A module's key as the name of one file."""
+    return F.replace(key, F.lit("/"), F.lit("_"))
+
+
 def rollup(status: DataFrame) -> DataFrame:
     """``state, n``: modules per state, with a row for each state."""
     all_ = status.sparkSession.createDataFrame([(s,) for s in STATES], "state string")

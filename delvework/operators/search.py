@@ -94,6 +94,11 @@ def search(
     return keyword(rows, query, weights, limit, module)
 
 
+def search_docs(rows: DataFrame, query: str, limit: int = 10, module: str | None = None, near: DataFrame | None = None) -> DataFrame:
+    """The router for documents: hybrid where a vector list is given, else keywords; there are no exact phrases or modes."""
+    return search(rows, query, limit=limit, module=module, weights=DOC_WEIGHTS, near=near)
+
+
 def results(found: DataFrame, rows: DataFrame, preview_lines: int = 5) -> DataFrame:
     """Found ids with path, module, lines, symbol or section, and a preview; one join, ranks kept.
 

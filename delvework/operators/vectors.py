@@ -99,12 +99,12 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]] = hashed_embedding, batch: int = 32, known: DataFrame | None = None) -> DataFrame:
-    """``id, vector`` of chunks that ``known(id)`` lacks, asked of ``provider`` in batches inside the tasks.
+def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]] = hashed_embedding, batch: int = 32, known: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, keep, vector`` of chunks that ``known(id)`` lacks, asked of ``provider`` in batches inside the tasks.
 
     A provider that returns another number of vectors than texts, or vectors of different lengths, raises.
     """
-    todo = chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", "content").dropDuplicates(["id"])
+    todo = chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", "content", *keep).dropDuplicates(["id"])
     if known is not None:
         todo = todo.join(known.select("id"), "id", "left_anti")
 
@@ -119,6 +119,23 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]]
                 vectors += got
             if len({len(v) for v in vectors}) > 1:
                 raise ValueError("vectors of different lengths")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(b.column(c) for c in keep), pa.array(vectors, pa.list_(pa.float32()))], names=["id", *keep, "vector"])
 
-    return todo.mapInArrow(run, "id string, vector array<float>")
+    return todo.mapInArrow(run, ", ".join(["id string", *(f"{c} {todo.schema[c].dataType.simpleString()}" for c in keep), "vector array<float>"]))
+
+
+def embed_query(text: str, provider: Callable[[list[str]], list[list[float]]] = hashed_embedding) -> list[float]:
+    """The vector of one query."""
+    (vector,) = provider([text])
+    return [float(x) for x in vector]
+
+
+def near(rows: DataFrame, vector: Column | list[float], limit: int, module: str | None = None) -> DataFrame:
+    """``id, score, rank``: the rows of ``rows(id, vector, ...)`` nearest to one vector, of a module if it is given."""
+    from delvework.operators import fusion
+
+    if module is not None:
+        rows = rows.where(F.col("module") == module)
+    asked = vector if isinstance(vector, Column) else F.lit(vector)
+    scored = rows.where("id IS NOT NULL AND vector IS NOT NULL").withColumn("_asked", asked)
+    return fusion.top(scored.select("id", F.round(cosine(F.col("vector"), F.col("_asked")), 6).alias("score")), limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from delvework.functions import text as T
 from delvework.operators import bm25, chunking, fusion, index, listing, memory, modules, search, vectors
 from delvework.plans.sql import NOW, SQL  # noqa: F401  (the driver reads SQL from here)
+from delvework.sources import changes, files
 from delvework.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +56,8 @@ def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
 def regex_boundary_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").dropDuplicates(["id"])
     # each chunk stands for a file of its own
-    files = c.select(F.concat(F.regexp_replace("id", ":", "/"), F.lit("."), T.extension(F.col("file_path"))).alias("file_path"), "module", "content")
-    return chunking.boundary_chunks(files, 40).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
+    own = c.select(F.concat(F.regexp_replace("id", ":", "/"), F.lit("."), T.extension(F.col("file_path"))).alias("file_path"), "module", "content")
+    return chunking.boundary_chunks(own, 40).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
 
 
 @query
@@ -67,14 +68,14 @@ def symbol_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def python_syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
-    files = chunking.reassembled(table(spark, d, "chunks").where(chunking.is_python(F.col("file_path"))))
-    return chunking.python_chunks(files, 60, 10).select("id", "start_line", "end_line", "symbol_name")
+    whole = chunking.reassembled(table(spark, d, "chunks").where(chunking.is_python(F.col("file_path"))))
+    return chunking.python_chunks(whole, 60, 10).select("id", "start_line", "end_line", "symbol_name")
 
 
 @query
 def syntax_chunks(spark: SparkSession, d: str) -> DataFrame:
-    files = chunking.reassembled(table(spark, d, "chunks").where(chunking.has_syntax(F.col("file_path"))))
-    return chunking.syntax_chunks(files, 60, 10).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
+    whole = chunking.reassembled(table(spark, d, "chunks").where(chunking.has_syntax(F.col("file_path"))))
+    return chunking.syntax_chunks(whole, 60, 10).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
 
 
 @query
@@ -106,11 +107,10 @@ def changed_files_anti(spark: SparkSession, d: str) -> DataFrame:
 @query
 def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     chunks, touched = table(spark, d, "chunks"), modules.normal_changes(table(spark, d, "changed_paths"))
-    files = touched.withColumnRenamed("path", "file_path")
+    changed_files = touched.withColumnRenamed("path", "file_path")
     # what was indexed again: the chunks of changed files, except those with a symbol of their own
-    fresh = chunks.join(files, "file_path", "left_semi").where("symbol_name IS NULL").withColumn("last_indexed", F.lit(NOW).cast("long"))
-    new = index.merged(chunks, fresh, touched)
-    return new.select("id", "file_path", "last_indexed")
+    fresh = chunks.join(changed_files, "file_path", "left_semi").where("symbol_name IS NULL").withColumn("last_indexed", F.lit(NOW).cast("long"))
+    return index.merged(chunks.select("id", "file_path", "last_indexed"), fresh, touched)
 
 
 @query
@@ -244,6 +244,40 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse([a, b], 20)
 
 
+def _doc_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``id, module, vector`` of the document chunks: the tables share no ids, so a hash of a chunk's id picks its vector."""
+    v = _vectors(spark, d)
+    place = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % v.agg(F.count("*")).scalar()
+    once = bm25.unique(_docs(spark, d), "module").select(F.col("id").alias("doc"), "module", place.alias("id"))
+    return once.join(v, "id").select(F.col("doc").alias("id"), "module", "vector")
+
+
+@query
+def hybrid_doc_search(spark: SparkSession, d: str) -> DataFrame:
+    asked = _vectors(spark, d).agg(F.min_by("vector", "id")).scalar()
+    near = vectors.near(_doc_vectors(spark, d), asked, search.fetch_size(20))
+    return search.search_docs(_docs(spark, d), "retry snapshot", 20, near=near)
+
+
+@query
+def semantic_module_docs(spark: SparkSession, d: str) -> DataFrame:
+    asked = _vectors(spark, d).agg(F.min_by("vector", "id")).scalar()
+    rows = _doc_vectors(spark, d)
+    return search.search(_docs(spark, d), "", mode="semantic", limit=10, near=vectors.near(rows, asked, 30, module="src/core"))
+
+
+@query
+def one_list_raw(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found, none = (fusion.top(bm25.trigram_scored(rows, [w], {"text": 1.0}), 30) for w in ("report", "zzzqqq"))
+    return fusion.fuse([none, found], 20)
+
+
+@query
+def like_docs(spark: SparkSession, d: str) -> DataFrame:
+    return search.like(_docs(spark, d), ["is", "to"], ["content", "section"], 40)
+
+
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "module")
@@ -263,6 +297,49 @@ def status_rollup(spark: SparkSession, d: str) -> DataFrame:
     return modules.rollup(modules.statuses(table(spark, d, "modules"), NOW))
 
 
+@query
+def status_table(spark: SparkSession, d: str) -> DataFrame:
+    return modules.overview(table(spark, d, "modules"), NOW)
+
+
+@query
+def status_set(spark: SparkSession, d: str) -> DataFrame:
+    """The modules with the most notes, in the order of their keys, set to outdated."""
+    m = table(spark, d, "modules")
+    many = table(spark, d, "notes").where("module IS NOT NULL").groupBy("module").agg(F.countDistinct("note_id").alias("n")).where("n >= 3")
+    keys = [r.module for r in many.join(m, F.col("module") == F.col("module_key"), "left_semi").collect()]  # no more than there are modules
+    return modules.set_status(modules.statuses(m, NOW), keys, "outdated", NOW, "many notes")
+
+
+@query
+def modules_added(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "doc_chunks").where("module IS NOT NULL").select(F.concat("module", F.lit("/handlers")).alias("module_key")).unionByName(table(spark, d, "modules").select("module_key"))
+    return modules.added(table(spark, d, "modules"), keys, _paths(spark, d))
+
+
+@query
+def modules_analyzed(spark: SparkSession, d: str) -> DataFrame:
+    changed = modules.changes_by_module(table(spark, d, "changed_paths"), table(spark, d, "modules"))
+    return modules.analyzed(table(spark, d, "modules"), changed.select("module_key"), NOW)
+
+
+@query
+def doc_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("file_path IS NOT NULL").select("file_path", modules.doc_key(F.col("file_path")).alias("module_key")).distinct()
+
+
+@query
+def excluded_paths(spark: SparkSession, d: str) -> DataFrame:
+    hit = files.excluded(F.col("path"), ["third_party", "/vendor/", "*.min.js", "*_test.go"])
+    return _paths(spark, d).where("path IS NOT NULL").select("path", hit.alias("excluded"), chunking.indexable(F.col("path")).alias("indexable"), modules.safe_label(F.col("path")).alias("label")).distinct()
+
+
+@query
+def changed_union(spark: SparkSession, d: str) -> DataFrame:
+    staged = table(spark, d, "file_hashes").where("sha256 IS NULL OR sha256 = ''").select("path")
+    return changes.changed_paths(staged, table(spark, d, "changed_paths"))
+
+
 @query
 def changes_by_module(spark: SparkSession, d: str) -> DataFrame:
     return modules.changes_by_module(table(spark, d, "changed_paths"), table(spark, d, "modules"))

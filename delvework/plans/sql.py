@@ -74,6 +74,10 @@ _NEAR = """SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS
    FROM embeddings JOIN documents ON vec_id = doc_id % (SELECT count(*) FROM embeddings)) ORDER BY score DESC, id LIMIT 60"""
 
 
+_DOC_NEAR = f"""SELECT id, module, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT arg_min(CAST(embedding AS DOUBLE[]), vec_id) FROM embeddings)), 6) AS score
+  FROM ({_DOCS}) JOIN embeddings ON vec_id = CAST('0x' || substring(md5(id), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)"""
+
+
 def _knn(where: str, k: int) -> str:
     return f"""SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
       (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
@@ -98,6 +102,7 @@ def _boundaries() -> str:
 
 
 _SOURCES = "'rs', 'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'vue', 'svelte', 'py', 'pyi', 'go', 'java', 'kt', 'kts', 'swift', 'cpp', 'cc', 'cxx', 'c', 'h', 'hpp', 'cs', 'rb', 'php', 'scala', 'lua', 'sh', 'bash'"
+_INDEXABLE = _SOURCES + ", 'hxx', 'hh', 'sc', 'zsh', 'hs', 'lhs', 'md'"
 
 SQL: dict[str, str] = {
     "line_window_chunks": f"""WITH f AS (SELECT 'doc/' || doc_id AS p, {_lines('text')} AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
@@ -151,6 +156,21 @@ SQL: dict[str, str] = {
     "cosine_module_filter": _knn("c.label = 2", 5),
     "rrf_fusion": _rrf(_top(_bm25(_TEXTS, ["report"], {"content": 1.0}), 30), _top(_bm25(_TEXTS, ["folder"], {"content": 1.0}), 30), 20),
     "hybrid_search": f"WITH s AS ({_bm25(_TEXTS, ['report', 'folder'], {'content': 1.0})}) " + _rrf(_NEAR, _top("SELECT id, score FROM s WHERE all_hit OR NOT (SELECT bool_or(all_hit) FROM s)", 60), 20),
+    "hybrid_doc_search": f"WITH s AS ({_bm25(_DOCS, ['retry', 'snapshot'], _DOC_W)}) " + _rrf(_top(f"SELECT id, score FROM ({_DOC_NEAR})", 60), _top("SELECT id, score FROM s WHERE all_hit OR NOT (SELECT bool_or(all_hit) FROM s)", 60), 20),
+    "semantic_module_docs": _top(f"SELECT id, score FROM ({_DOC_NEAR}) WHERE module = 'src/core'", 10),
+    "one_list_raw": _top(_bm25(_TEXTS, ["report"], {"content": 1.0}), 20),
+    "like_docs": _top(f"SELECT id, 1.0::DOUBLE AS score FROM ({_DOCS}) WHERE (contains(lower(content), 'is') OR contains(lower(coalesce(section, '')), 'is')) AND (contains(lower(content), 'to') OR contains(lower(coalesce(section, '')), 'to'))", 40),
+    "status_table": f"SELECT *, (SELECT count(*) FROM ({_STATUS}) WHERE state = 'outdated') AS outdated FROM ({_STATUS})",
+    "status_set": f"""WITH k AS (SELECT module FROM notes WHERE module IS NOT NULL GROUP BY module HAVING count(DISTINCT note_id) >= 3)
+      SELECT module_key, CASE WHEN k.module IS NULL THEN state ELSE 'outdated' END AS state, CASE WHEN k.module IS NULL THEN since ELSE {NOW} END AS since, CASE WHEN k.module IS NULL THEN reason ELSE 'many notes' END AS reason
+      FROM ({_STATUS}) LEFT JOIN k ON module = module_key""",
+    "modules_added": f"""SELECT module_key, raw_status FROM modules UNION ALL
+      SELECT k, 'unknown' FROM (SELECT DISTINCT module || '/handlers' AS k FROM doc_chunks WHERE module IS NOT NULL) WHERE k NOT IN (SELECT module_key FROM modules) AND EXISTS (SELECT 1 FROM ({_PATHS}) WHERE path = k OR starts_with(path, k || '/'))""",
+    "modules_analyzed": f"""SELECT module_key, CASE WHEN state <> 'understood' AND module_key IN (SELECT module_key FROM ({_BY_MODULE})) THEN 'analyzing:{NOW}' ELSE raw_status END AS raw_status FROM modules JOIN ({_STATUS}) USING (module_key)""",
+    "doc_keys": r"""SELECT DISTINCT file_path, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE regexp_replace(p, '(\.md)+$', '') END AS module_key FROM (SELECT file_path, regexp_replace(file_path, '^modules/', '') AS p FROM doc_chunks WHERE file_path IS NOT NULL)""",
+    "excluded_paths": f"""SELECT path, len(list_intersect(string_split(path, '/'), ['third_party', 'vendor'])) > 0 OR ends_with(path, '.min.js') OR ends_with(path, '_test.go') AS excluded,
+      {_EXT.format(p='path')} IN ({_INDEXABLE}) AS indexable, replace(path, '/', '_') AS label FROM ({_PATHS})""",
+    "changed_union": "SELECT path FROM file_hashes WHERE coalesce(sha256, '') = '' AND path IS NOT NULL UNION SELECT path FROM changed_paths WHERE path IS NOT NULL",
     "status_parse": _STATUS,
     "status_rollup": f"SELECT state, coalesce(n, 0) AS n FROM (SELECT unnest(['unknown', 'analyzing', 'partial', 'understood', 'outdated']) AS state) LEFT JOIN (SELECT state, count(*) AS n FROM ({_STATUS}) GROUP BY state) USING (state)",
     "changes_by_module": _BY_MODULE,

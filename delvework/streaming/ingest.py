@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from delvework.operators.index import build
+from delvework.operators.index import BUCKETS, build
 
+SCHEMA = "file_path string, module string, content string, version long"
 
-def watch(spark: SparkSession, source: str, folder: str, checkpoint: str, size: int = 60, overlap: int = 10) -> StreamingQuery:
-    """Indexes the files that arrive as Parquet ``file_path, module, content`` in ``source``, batch by batch.
 
-    Every batch becomes a new snapshot with the files so far; a batch that is run again leads to the same state.
-    """
-    schema = "file_path string, module string, content string"
+def watch(spark: SparkSession, source: str, folder: str, checkpoint: str, size: int = 60, overlap: int = 10, buckets: int = BUCKETS) -> StreamingQuery:
+    """Indexes the files that arrive as Parquet ``file_path, module, content, version`` in ``source``, batch by batch.
 
+    Every batch is merged into the newest snapshot and becomes a new one; only the parts of the index in which its files
+    lie are read and written. Of the versions of a file (null counts as 0) the highest holds, whatever the order in
+    which they arrive; null content removes a file. A batch that is run again leads to the same state.
+    """
     def step(batch: DataFrame, number: int) -> None:
-        seen = spark.read.schema(schema).parquet(source).join(batch.select("file_path"), "file_path", "left_anti")
-        build(spark, seen.unionByName(batch).dropDuplicates(["file_path"]), folder, size, overlap, now=number)
+        build(spark, batch, folder, size, overlap, now=number, buckets=buckets, partial=True)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from delvework.functions import text as T
 from delvework.operators import bm25, chunking, fusion, index, listing, memory, modules, search, vectors
 from delvework.plans.sql import NOW, SQL  # noqa: F401  (the driver reads SQL from here)
 from delvework.sources import changes, files
-from delvework.sources.tables import table
+from delvework.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,11 +24,11 @@ def query(f: Query) -> Query:
 
 def _doc_files(spark: SparkSession, d: str) -> DataFrame:
     """The documents as files."""
-    return table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), "module", F.col("text").alias("content"))
+    return spread(table(spark, d, "documents")).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), "module", F.col("text").alias("content"))
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks")
+    return spread(table(spark, d, "chunks"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def regex_boundary_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").dropDuplicates(["id"])
+    c = _code(spark, d).dropDuplicates(["id"])
     # each chunk stands for a file of its own
     own = c.select(F.concat(F.regexp_replace("id", ":", "/"), F.lit("."), T.extension(F.col("file_path"))).alias("file_path"), "module", "content")
     return chunking.boundary_chunks(own, 40).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest"))
@@ -62,7 +62,7 @@ def regex_boundary_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def symbol_split(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").dropDuplicates(["id"])
+    c = _code(spark, d).dropDuplicates(["id"])
     return chunking.split_symbols(c, 25).select("id", "start_line", "end_line", "symbol_name", F.md5("content").alias("digest")).distinct()
 
 
@@ -144,14 +144,14 @@ def path_normal(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     s = bm25.trigram_scored(rows, ["snapshot", "keit"], {"text": 1.0}).where("all_terms")
     return fusion.top(s, 20).select("id", "score", "rank")
 
 
 @query
 def bm25_or(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     return fusion.top(bm25.trigram_scored(rows, ["tion", "schen"], {"text": 1.0}), 50).select("id", "score", "rank")
 
 
@@ -232,13 +232,13 @@ def _near(spark: SparkSession, d: str, limit: int) -> DataFrame:
     v = _vectors(spark, d)
     one = v.agg(F.min_by("vector", "id")).scalar()
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % v.agg(F.count("*")).scalar()).alias("id"))
-    rows = docs.join(v, "id").withColumn("asked", one)
-    return fusion.top(rows.select(F.col("doc_id").alias("id"), F.round(vectors.cosine(F.col("vector"), F.col("asked")), 6).alias("score")), limit)
+    near = v.withColumn("asked", one).select("id", F.round(vectors.cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
+    return fusion.top(docs.join(near, "id").select(F.col("doc_id").alias("id"), "score"), limit)
 
 
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     a = fusion.top(bm25.trigram_scored(rows, ["report"], {"text": 1.0}), 30)
     b = fusion.top(bm25.trigram_scored(rows, ["folder"], {"text": 1.0}), 30)
     return fusion.fuse([a, b], 20)
@@ -268,7 +268,7 @@ def semantic_module_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def one_list_raw(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     found, none = (fusion.top(bm25.trigram_scored(rows, [w], {"text": 1.0}), 30) for w in ("report", "zzzqqq"))
     return fusion.fuse([none, found], 20)
 
@@ -280,7 +280,7 @@ def like_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "module")
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text", "module")
     return search.search(rows, "report folder", weights={"text": 1.0}, limit=20, near=_near(spark, d, search.fetch_size(20)))
 
 

@@ -169,7 +169,8 @@ def _basic(v: str) -> bool:
 def secret_name(name: str) -> bool:
     """Whether a name is that of a credential itself, not of something about one."""
     snake = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_")
-    snake = re.sub(r"\d+$", "", snake).strip("_")
+    # a number behind a name counts things of its kind; that of an encoding belongs to it
+    snake = snake if re.search(r"(?:^|_)(?:b|base)_?64$", snake) else re.sub(r"\d+$", "", snake).strip("_")
     return bool(_SECRET_NAME.search(snake)) and not _NOT_SECRET_NAME.search(snake)
 
 

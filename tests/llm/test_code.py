@@ -238,6 +238,9 @@ def found(text, path="a.py"):
         ("a.c", "// user svc_module pw L@nt3rn!sab33 until the vault works", "L@nt3rn!sab33"),
         ("a.js", "// tmp creds svc_anchor:9N9jSZCB+", "9N9jSZCB+"),
         ("a.js", 'get("https://x.example/a?api_key=9N9jSZCBx8Lw&b=1")', "9N9jSZCBx8Lw"),
+        ("a.toml", 'pass_b64 = "T3R0ZXItNDQ3NQ=="', "T3R0ZXItNDQ3NQ=="),
+        ("a.properties", "db.password.base64=T3R0ZXItNDQ3NQ==", "T3R0ZXItNDQ3NQ=="),
+        ("a.py", 'password2 = "Willow-Otter-55"', "Willow-Otter-55"),
     ],
 )
 def test_secrets(path, text, what):

@@ -94,8 +94,9 @@ def functions(text: str, path: str | None, first_line: int, whole: bool) -> list
         return []
     text = text.replace("\r\n", "\n")
     lexed = lex(text, fam)
-    if first_line > 1 and lexed[1] != CODE:
-        lexed = lex(text, fam, start_state(text, fam, first_line))
+    if lexed[1] != CODE or not whole:
+        state = start_state(text, fam, first_line)
+        lexed = lexed if state == CODE else lex(text, fam, state)
     if not any(s[0] != "s" or fam == "python" for s in lexed[0]):
         return []
     src = Source(text, fam, lexed=lexed)
@@ -146,7 +147,8 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
     and, in Python, the string that opens the body, without tags, directives, placeholders, ornaments and disabled
     code; ``code`` runs from the declaration's line to the end of its balanced body, or, if that is still ``open`` there,
     of the chunk (see :func:`whole_bodies`). A line comment
-    with which a line window begins is whole only if another window shows that no comment stands above it. Null ids,
+    with which a chunk without symbol begins is whole only if another chunk shows that no comment stands above it, or
+    if no chunk has the line above and other chunks of the file have symbols. Null ids,
     paths or contents and files of unknown kinds give no rows; equal rows count once; a null start line counts as 1.
     """
     start = F.coalesce("start_line", F.lit(1))
@@ -171,7 +173,10 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
     seen = _commented(c.withColumn("whole", F.col("whole") & (F.col("start_line") > 1)))
     at = F.get("flags", above - F.col("first"))
     told = asked.join(seen, ["file_path", "near"], "left").groupBy("id", "file_path", "function_name", "line", "doc", "code", "open", "inner").agg(F.max(F.when(above >= F.col("first"), at)).alias("more"))
-    doc = F.when(~F.coalesce("more", F.lit(True)), F.col("doc")).otherwise(F.col("inner"))
+    # a file with named symbols was indexed symbol by symbol: what no chunk has between them is blank
+    named = chunks.where("symbol_name IS NOT NULL AND file_path IS NOT NULL").select("file_path").distinct().withColumn("named", F.lit(True))
+    told = told.join(named, "file_path", "left")
+    doc = F.when(~F.coalesce("more", ~F.coalesce("named", F.lit(False))), F.col("doc")).otherwise(F.col("inner"))
     kept = told.select("id", "file_path", "function_name", "line", doc.alias("doc"), "code", "open").where("doc <> ''")
     return sure.unionByName(kept)
 

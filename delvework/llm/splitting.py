@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delvework.llm.islands import Source, line_starts
+from delvework.llm.islands import Source, line_starts, masked
 from delvework.llm.lexer import CODE, family, lex, states_of, transition
 
 #: Boundary strengths: inside a line, between lines (less the deeper), at a blank line, before a declaration.
 INSIDE, LINE, BLANK, DECL = 0.0, 1.0, 3.0, 10.0
 
 
+_SIGNS = re.compile(r"[(){}\[\]=;]")
+
+
 def start_state(text: str, fam: str, first_line: int) -> int:
-    """The lexer state in which a chunk begins: code, unless it lies inside a file and only another start leaves it balanced."""
-    if first_line <= 1 or len(states_of(fam)) == 1 or lex(text, fam)[1] == CODE:
+    """The lexer state in which a chunk begins: code, unless it lies inside of a file and another start suits it better.
+
+    A chunk may begin inside of a string or comment and be cut off inside of another. Of all starts, the one holds that
+    leaves the most signs of code outside of strings and comments; among equals one that ends in code, and then code.
+    """
+    if first_line <= 1 or len(states_of(fam)) == 1:
+        return CODE
+    spans, end, _ = lex(text, fam)
+    if end == CODE and not any(kind == "s" and "\n" in text[a:b] for kind, a, b, *_ in spans):
         return CODE
     fn, runs = transition(text, fam)
-    others = [s for s in states_of(fam)[1:] if fn[s] == CODE]
-    return min(others, key=lambda s: (len(runs[s]), s)) if others else CODE
+    return max(states_of(fam), key=lambda s: (len(_SIGNS.findall(masked(text, runs[s]))), fn[s] == CODE, s == CODE))
 
 
 def declaration_boundaries(text: str, path: str | None, first_line: int) -> list[tuple[int, str, str]]:

@@ -159,6 +159,15 @@ def test_not_documentation():
         assert not any(f["doc"] for f in doc_pairs.functions(text, path, 1, True)), path
 
 
+def test_windows_that_begin_or_end_inside_of_strings():
+    inside = 'of the table.\n    """\n    return a(b)\n\ndef f(x):\n    """Reads one row at most.\n    """\n    return g(x)\n\ndef h(y):\n    """Writes'
+    after = 'x = a(b)\ndef f(x):\n    """Reads one row at most.\n    """\n    return g(x)\n\ndef h(y):\n    """Writes one row'
+    for text, first in ((inside, 9), (after, 9), (after, 1)):
+        got = {f["function_name"]: f["doc"].strip() for f in doc_pairs.functions(text, "a.py", first, False)}
+        assert got["f"] == "Reads one row at most.", text
+    assert splitting.start_state(inside, "python", 9) != 0 and splitting.start_state(after, "python", 9) == 0
+
+
 def test_balanced_bodies():
     text = '// Reads "{" one row at most.\nfn f() {\n  let s = "}";\n  if a { b } // }\n}\nfn g() {}'
     got = {f["function_name"]: f["code"] for f in doc_pairs.functions(text, "a.rs", 1, True)}
@@ -168,7 +177,7 @@ def test_balanced_bodies():
 
 def test_pairs_edges(spark):
     text = "// Reads one row at most.\nfn f() {}"
-    rows = [("a", "a.rs", 3, 4, text, "f", None), ("a", "a.rs", 3, 4, text, "f", None), ("b", "a.rs", 3, 4, text, None, None), (None, "a.rs", 1, 2, text, "f", None), ("c", None, 1, 2, text, "f", None), ("d", "a.rs", None, 2, None, "f", None), ("e", "a.rs", 1, 1, "", None, None)]
+    rows = [("a", "a.rs", 3, 4, text, "f", None), ("a", "a.rs", 3, 4, text, "f", None), ("b", "b.rs", 3, 4, text, None, None), (None, "a.rs", 1, 2, text, "f", None), ("c", None, 1, 2, text, "f", None), ("d", "a.rs", None, 2, None, "f", None), ("e", "a.rs", 1, 1, "", None, None)]
     got = doc_pairs.documented_functions(frame(spark, [(*r, 1) for r in rows], ", doc int")).collect()
     # b is a window that begins with a line comment: more of it may stand above
     assert [(r.id, r.function_name, r.line, r.doc) for r in got] == [("a", "f", 4, "Reads one row at most.")]
@@ -184,11 +193,13 @@ def test_documentation_cut_off_by_a_window(spark):
         ("v1", "b.rs", 1, 2, whole, None, None), ("v2", "b.rs", 3, 5, tail, None, None),  # it doesn't
         ("u1", "c.rs", 1, 4, whole + "// at most from the table.\nfn f() {}", None, None), ("u2", "c.rs", 3, 5, tail, None, None),  # windows overlap
         ("t2", "d.rs", 3, 5, tail, None, None),  # nobody knows what is above
+        ("r1", "f.rs", 1, 1, "fn a() {}", "a", None), ("r2", "f.rs", 3, 5, tail, None, None),  # a symbol that lost its name
+        ("q1", "g.rs", 1, 2, head, "a", None), ("q2", "g.rs", 3, 5, tail, None, None),  # it shows a comment above
         ("s1", "e.py", 600, 600, "x = 1  # no", None, None), ("s2", "e.py", 601, 603, "# of all the rows\ndef f():\n    'Reads one row at most.'", None, None),
     ]
     got = {(r.id, r.doc) for r in doc_pairs.documented_functions(frame(spark, rows)).collect()}
     says = "at most from the table."
-    assert got == {("v2", says), ("u1", says), ("u2", says), ("s2", "of all the rows\nReads one row at most.")}
+    assert got == {("v2", says), ("u1", says), ("u2", says), ("r2", says), ("s2", "of all the rows\nReads one row at most.")}
 
 
 @pytest.mark.parametrize("cut", [3, 4, 9, 40, 300, 700])

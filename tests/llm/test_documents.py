@@ -1,9 +1,13 @@
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from delvework.llm import leakage, mixing, reading_level
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
 # leakage
 
 ITEM = "On the second day Naxnaxmon moves its drawer behind the emblem, which skips 1050 of the 2455 pending names. Suppose that 2956 readers ask Naxnaxmon for the same drawer while Lanheplan skips the footer of a closed margin."
@@ -243,6 +247,15 @@ def test_each_word_is_a_node_of_its_own(spark):
     assert all((few[i] <= 2) == bool(i % 2) for i in range(60, 300))
 
 
+def test_invariants_equal_sql(spark):
+    from delvework.llm.queries import QUERIES, SQL
+    from verify import compare, duck
+
+    con = duck("/root/testdata/sf0.001")
+    for name, sql in SQL.items():
+        assert compare(spark, con, "/root/testdata/sf0.001", name, QUERIES[name], sql) == "", name
+
+
 def test_registered_queries_run(spark):
     from delvework.llm.queries import QUERIES
 

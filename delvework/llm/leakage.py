@@ -169,6 +169,13 @@ class Items:
                 postings[h].append((k, pos, int(wr[pos])))
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(h)] for h in self.keys]
+        #: the same by the words of the window, for slots that agree
+        self.agreeing: list[dict[int, list[tuple[int, int]]]] = []
+        for entries in self.postings:
+            by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for k, pos, w in entries:
+                by[w].append((k, pos))
+            self.agreeing.append(dict(by))
 
     def __reduce__(self):
         return Items, (self.rows,)
@@ -286,19 +293,27 @@ def compare(text: str, items: Items, likenesses: bool = True) -> list[tuple[int,
     index[index == len(items.keys)] = 0
     same: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
     other: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-    for x in np.flatnonzero(items.keys[index] == hashes):
-        p = int(places[x])
-        r = int(wr[p])
-        for k, pos, wraw in items.postings[index[x]]:
-            (same if wraw == r else other)[k][p - pos].add(p)
+    hits = [(int(index[x]), int(places[x]), int(wr[places[x]])) for x in np.flatnonzero(items.keys[index] == hashes)]
+    for i, p, r in hits:
+        for k, pos in items.agreeing[i].get(r, ()):
+            same[k][p - pos].add(p)
+    quotes = {}
+    for k, diagonals in same.items():
+        weight, least = items.weight[k]
+        quotes[k] = max((check(items.raw[k], items.slots[k], weight, least, raw, d) for d in _diagonals(diagonals, items.need[k])), default=0)
+    if not likenesses and not any(quotes.values()):
+        return []
+    for i, p, r in hits:
+        for k, pos, w in items.postings[i]:
+            if w != r and (likenesses or quotes.get(k)):
+                other[k][p - pos].add(p)
     out = []
     for k in same.keys() | other.keys():
-        n_same, n_other = sum(map(len, same[k].values())), sum(map(len, other[k].values()))
-        weight, least = items.weight[k]
-        quote = max((check(items.raw[k], items.slots[k], weight, least, raw, d) for d in _diagonals(same[k], items.need[k])), default=0)
-        if quote:
-            out.append((items.ids[k], "quote", quote, n_same, n_other))
+        n_same, n_other = (sum(map(len, h[k].values())) if k in h else 0 for h in (same, other))
+        if quotes.get(k):
+            out.append((items.ids[k], "quote", quotes[k], n_same, n_other))
         elif n_other and likenesses:
+            weight, least = items.weight[k]
             free = np.zeros(len(weight), bool)
             both = {d: same[k].get(d, set()) | other[k].get(d, set()) for d in same[k].keys() | other[k].keys()}
             like = max((check(items.named[k], free, weight, least, named, d) for d in _diagonals(both, items.need[k])), default=0)

@@ -83,8 +83,8 @@ _SAID = re.compile(
     r"\bsecret\b|\btoken\b|api[ _-]?key|账号|帳號|ログイン|identifiants?|anmeldung",
     re.I,
 )
-#: Parts of those words by which texts without any are passed over.
-_SAID_PARTS = ("passw", "kennwort", "passphrase", "pw", " pass", "mdp", "mot de passe", "contrase", "clave", "senha", "palavra-passe", "парол", "密码", "密碼", "口令", "パスワード", "暗証", "cred", "login", "log in", "zugang", "acces", "acess", "доступ", "secret", "token", "api", "账号", "帳號", "ログイン", "identifiant", "anmeldung")
+#: Parts of those words, one in each, by which lines without any are passed over (fixed values).
+_SAID_PARTS = "pass|kennwort|pw|mdp|contrase|clave|senha|парол|密码|密碼|口令|パスワード|暗証|cred|login|log in|zugang|acc|acess|доступ|secret|token|api|账号|帳號|ログイン|identifiant|anmeldung".split("|")
 _PARTS = ("private key", "eyj", "://", "basic ", "bearer ", "pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "pin", "salt", "login", "cookie", "-u ", "--user", "jwt")
 _COMMENT = re.compile(r"(?:^|\s)(?://+|\#+|--|\*|;|<!--)\s?")
 _STRANGE = re.compile(r"\d|[!*\#?@+%$&~^=]|[a-z][A-Z]")
@@ -215,7 +215,7 @@ _LONG = re.compile(r"[\"'`][^\s\"'`]{20,}[\"'`]")
 def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secrets of a text, in order, without overlaps."""
     low = text.lower()
-    hint, said = any(p in low for p in _PARTS), any(p in low for p in _SAID_PARTS)
+    hint, said = any(p in low for p in _PARTS), _lines_with(text, low, _SAID_PARTS)
     if not (hint or said or _LONG.search(text) or _ARGUMENTS.search(text)):
         return []
     fam, back = family(path), text[::-1]
@@ -282,8 +282,7 @@ def find(text: str, path: str | None, words: Dictionary) -> list[tuple[int, int,
         if not _PLACEHOLDER.match(m[2]) and words.residual(m[2].rstrip("\"'")) >= 4:
             hits.append((m.start(2), m.end(2), "argument"))
     hits += _in_calls(text, back, words)
-    if said:
-        hits += _in_comments(text, words)
+    hits += _in_comments(text, said, words)
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int, str]] = []
     for h in hits:
@@ -371,15 +370,32 @@ def _in_calls(text: str, back: str, words: Dictionary) -> list[tuple[int, int, s
     return hits
 
 
-def _in_comments(text: str, words: Dictionary) -> list[tuple[int, int, str]]:
-    """Passwords told in comments, behind a word for them in one of many languages."""
-    hits, done = [], -1
-    for m in _SAID.finditer(text):
-        ls, le = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+def _lines_with(text: str, low: str, parts: list[str]) -> list[int]:
+    """Where the lines begin that hold one of the parts in lower case."""
+    found = set()
+    for part in parts:
+        at = low.find(part)
+        while at >= 0:
+            found.add(low.rfind("\n", 0, at) + 1)
+            end = low.find("\n", at)
+            at = low.find(part, end) if end >= 0 else -1
+    if len(low) != len(text) and found:  # letters whose lower case is longer: lines are matched by their numbers
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        found = {starts[low.count("\n", 0, at)] for at in found}
+    return sorted(found)
+
+
+def _in_comments(text: str, lines: list[int], words: Dictionary) -> list[tuple[int, int, str]]:
+    """Passwords told in comments, behind a word for them in one of many languages, on lines that may hold such a word."""
+    hits = []
+    for ls in lines:
+        le = text.find("\n", ls)
         le = le if le >= 0 else len(text)
-        if ls <= done or not _COMMENT.search(text, max(ls - 1, 0), m.start()):
+        if not _COMMENT.search(text, max(ls - 1, 0), le):
+            continue
+        m = next((m for m in _SAID.finditer(text, ls, le) if _COMMENT.search(text, max(ls - 1, 0), m.start())), None)
+        if m is None:
             continue
-        done = ls
         for t in re.finditer(r"\S+", text[m.end() : le]):
             v = t[0].strip("\"'`(),;").rstrip(".")
             v = v.rpartition(":")[2] if ":" in v and "//" not in v else v

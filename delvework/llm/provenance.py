@@ -197,9 +197,9 @@ def _dense(s: str) -> bool:
     return lit + punct > 0.85 * len(s)
 
 
-_OUT = "file_path string, module string, path_kind string, chars long, packed long, data long, tokens long, windows long, uniq long, gen boolean, third string, fps array<long>"
+_OUT = "file_path string, block int, module string, path_kind string, chars long, packed long, data long, tokens long, windows long, uniq long, gen boolean, third string, fps array<long>"
 _SCHEMA = pa.schema(
-    [("file_path", pa.string()), ("module", pa.string()), ("path_kind", pa.string()), *((k, pa.int64()) for k in ("chars", "packed", "data", "tokens", "windows", "uniq")), ("gen", pa.bool_()), ("third", pa.string()), ("fps", pa.list_(pa.int64()))]
+    [("file_path", pa.string()), ("block", pa.int32()), ("module", pa.string()), ("path_kind", pa.string()), *((k, pa.int64()) for k in ("chars", "packed", "data", "tokens", "windows", "uniq")), ("gen", pa.bool_()), ("third", pa.string()), ("fps", pa.list_(pa.int64()))]
 )
 
 
@@ -208,7 +208,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             path = r["file_path"]
-            rows.append({"file_path": path, "module": r["module"], "path_kind": path_kind(path), **block_features(overlay(r["offs"], r["texts"]), path, r["block"] == 0)})
+            rows.append({"file_path": path, "block": r["block"], "module": r["module"], "path_kind": path_kind(path), **block_features(overlay(r["offs"], r["texts"]), path, r["block"] == 0)})
         yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
@@ -241,11 +241,15 @@ def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MO
     files = feats.groupBy("file_path").agg(
         F.first("path_kind").alias("path_kind"), *(F.sum(c).alias(c) for c in ("chars", "packed", "data", "windows", "uniq")), F.max("gen").alias("gen"), F.max("third").alias("third")
     ).select("file_path", judged().alias("kind"))
-    seeds = (F.col("path_kind") == "vendored") | F.col("third").isNotNull()
+    # what makes a file vendored stands in its path or its first block; the few later blocks ask for it
+    first = F.coalesce((F.col("path_kind") == "vendored") | F.col("third").isNotNull(), F.lit(False))
+    vendored = files.where("kind = 'vendored'").select("file_path", F.lit(True).alias("seed"))
+    later = feats.where("block > 0").join(vendored, "file_path", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    seeded = feats.where("block = 0").withColumn("seed", first).unionByName(later)
     parts = F.split("file_path", "/")
     below = F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
     module = F.coalesce(F.nullif(F.trim("module"), F.lit("")), below)
-    each = feats.select("file_path", F.coalesce(seeds, F.lit(False)).alias("seed"), module.alias("module"), F.explode("fps").alias("fp"))
+    each = seeded.select("file_path", "seed", module.alias("module"), F.explode("fps").alias("fp"))
     once = each.groupBy("fp", "module").agg(F.max("seed").alias("seed"), F.count("*").alias("rows"))
     counts = once.groupBy("fp").agg((F.max("seed") | (F.count("*") >= modules)).alias("hit"), F.sum("rows").alias("rows"))
     total = feats.agg(F.sum(F.size("fps"))).first()[0] or 0
@@ -253,7 +257,7 @@ def not_handwritten(chunks: DataFrame, copied: float = COPIED, modules: int = MO
     # fewer than ``hot`` fingerprints make up more than one row in ``hot`` each: those are sent, the others are joined by shuffle
     often = F.broadcast(flagged.where("hot").select("fp", F.col("hit").cast("int").alias("hit")))
     seldom = flagged.where("NOT hot").select("fp", F.lit(1).alias("hit"))
-    rows = each.select("file_path", "fp")
+    rows = feats.select("file_path", F.explode("fps").alias("fp"))
     met = rows.join(often, "fp").unionByName(rows.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp", "left"))
     share = met.groupBy("file_path").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recurring"))
     both = files.join(share, "file_path", "left")

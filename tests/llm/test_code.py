@@ -407,6 +407,13 @@ def test_modules_of_a_copy_are_counted_exactly(spark):
     assert {(r.file_path, r.kind) for r in provenance.not_handwritten(df).collect()} == {(f"src/{m}/copy.py", "copy") for m in four}
 
 
+def test_copies_of_long_vendored_files(spark):
+    long = body(51, 400)
+    files = {"src/a/lib.py": "# Fennick 7.5.8 - Copyright (c) the Fennick authors. All rights reserved.\n" + long, "src/b/copy.py": long, "src/c/own.py": body(52, 400)}
+    df = frame(spark, [(f"{p}:1", p, 1, None, t, None, None) for p, t in files.items()])
+    assert {r.file_path: r.kind for r in provenance.not_handwritten(df, block_lines=100).collect()} == {"src/a/lib.py": "vendored", "src/b/copy.py": "copy"}
+
+
 def test_modules_are_those_of_the_chunks(spark):
     copy, other = body(21), body(22)
     rows = [(f"lib/{k}.py", copy, m) for k, m in enumerate(["a", "b", "c", " d "])] + [(f"src/m{k}/other.py", other, "one") for k in range(6)]
